@@ -17,17 +17,31 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 2_000_000
 
 
-def id_text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list]]:
-    """For batches of (id, text): parts of about ``limit`` characters, as the ids in Arrow and the texts in Python.
+def row_slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of batches that hold about ``limit`` characters of the text column, each with its texts in Python.
 
     A null text becomes an empty one; a text is never cut, so a longer one is a part of its own.
     """
     for batch in batches:
-        ids, column = batch.column(0), batch.column(1)
+        column = batch.column(text_at)
         held = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(column):
             base = held[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(held, base + limit, "right")))
-            yield ids.slice(start, end - start), [t or "" for t in column.slice(start, end - start).to_pylist()]
+            yield batch.slice(start, end - start), [t or "" for t in column.slice(start, end - start).to_pylist()]
             start = end
+
+
+def id_text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list]]:
+    """The same for batches of (id, text), with the ids alone."""
+    for part, texts in row_slices(batches, 1, limit):
+        yield part.column(0), texts
+
+
+def unused(name: str, *frames) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -44,15 +44,23 @@ WITH d AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d
 ), s AS (
   SELECT *, len(ws) AS n, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w
-), windows AS (
-  SELECT r, n, t.m, t.i, hash(list_slice(ws, t.i, t.i + t.m - 1)) AS h1, list_slice(ws, t.i, t.i + least(t.m, 10) - 1) AS head
-  FROM (SELECT r, n, ws, unnest(flatten(list_transform([3, 10, greatest(3, 30 * n // 100 + 1)], lambda m: list_transform(range(1, n - m + 2), lambda i: {'m': m, 'i': i})))) AS t FROM s)
+), words AS (
+  SELECT r, i, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, n + 1)) AS i FROM s)
+), places AS (
+  SELECT r, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS three, lead(i, 9) OVER o IS NOT NULL AS has_ten,
+         string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)
 ), again AS (
-  SELECT r, n, m, i FROM (SELECT *, count(DISTINCT i) OVER (PARTITION BY r, m, h1, head) AS c FROM (SELECT DISTINCT * FROM windows)) WHERE c > 1
+  SELECT r, 3 AS m, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS c FROM places WHERE three IS NOT NULL) WHERE c > 1
+  UNION ALL
+  SELECT r, 10 AS m, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, ten) AS c FROM places WHERE has_ten) WHERE c > 1
+), far AS (
+  SELECT r, ws, m, unnest(range(1, n - m + 2)) AS i
+  FROM (SELECT r, ws, n, 30 * n // 100 + 1 AS m FROM s WHERE n >= 50 AND r IN (SELECT r FROM again WHERE m = 10))
 ), cover AS (
-  SELECT r, m, count(DISTINCT j) AS words FROM (SELECT r, m, unnest(range(i, i + m)) AS j FROM again WHERE m IN (3, 10)) GROUP BY r, m
+  SELECT r, m, count(DISTINCT j) AS words FROM (SELECT r, m, unnest(range(i, i + m)) AS j FROM again) GROUP BY r, m
 ), long AS (
-  SELECT DISTINCT r FROM again WHERE m = greatest(3, 30 * n // 100 + 1)
+  SELECT DISTINCT r FROM (SELECT r, count(*) OVER (PARTITION BY r, hash(list_slice(ws, i, i + m - 1))) AS c FROM far) WHERE c > 1
 ), figures AS (
   SELECT s.doc_id, s.n::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
@@ -67,4 +75,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-SQL = {"op5_source_mixing": OP5, "op8_quality_rules": OP8}
+OP1 = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
+OP7 = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), h AS (
+  SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS x FROM p
+), d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (('0x' || substr(x, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) % 32 + 1, 1)), '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY x) AS first
+  FROM h
+)
+SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+SQL = {"op1_one_bit_ann": OP1, "op7_warc_index": OP7, "op5_source_mixing": OP5, "op8_quality_rules": OP8}

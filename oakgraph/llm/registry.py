@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from ..runtime import table
-from . import bpe, mixing, oracles, quality, token_files
+from ..runtime import materialize, table
+from . import ann, bpe, chunks, mixing, oracles, quality, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialize(ann.build_index(table(spark, sf_dir, "embeddings")), "ann-index")
+    return ann.search(index, index.where(F.col("id") % 100 == 0), 10)
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
@@ -24,19 +30,30 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.summary(table(spark, sf_dir, "documents"))
+
+
 def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_one_bit_ann": op1_one_bit_ann,
         "op4_token_orc": op4_token_orc,
         "op5_source_mixing": op5_source_mixing,
+        "op7_warc_index": op7_warc_index,
         "op8_quality_rules": op8_quality_rules,
+        "op9_gear_chunks": op9_gear_chunks,
         "op10_speculative_bpe": op10_speculative_bpe,
         "pipeline": corpus_pipeline.run,
     }

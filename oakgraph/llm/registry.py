@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..runtime import materialize, table
-from . import ann, bpe, chunks, mixing, oracles, quality, token_files, warc
+from . import ann, bpe, chunks, mixing, near_dups, oracles, quality, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op6_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_one_bit_ann": op1_one_bit_ann,
         "op4_token_orc": op4_token_orc,
         "op5_source_mixing": op5_source_mixing,
+        "op6_bayesian_minhash": op6_bayesian_minhash,
         "op7_warc_index": op7_warc_index,
         "op8_quality_rules": op8_quality_rules,
         "op9_gear_chunks": op9_gear_chunks,

@@ -15,6 +15,7 @@ ids each keep their own row; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,15 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .. import runtime
-from .common import WORD, id_text_slices
+from .common import Recent, text_parts, word_codes
 
-#: Distinct words that one worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words in a generation of what a worker remembers.
+CACHE_WORDS = 300_000
+#: Characters encoded at once.
+SLICE_CHARS = 4_000_000
 #: Broadcast the manifest up to so many files (24 bytes each).
 MANIFEST_ROWS = 200_000
+#: Letters whose lower case is one letter whatever is around them, and marks that are no part of a contraction.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)").fullmatch
 ORC = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
 
@@ -42,28 +47,67 @@ class WordEncoder:
 
     The normaliser folds white space, the pre-tokeniser drops it, and no token spans it, so the ids of a text
     are those of its words in a row. ``split_safe`` must be False for vocabularies without that property.
+    New words of plain Latin letters, with marks after them or not, are encoded together as words that are cut already: for them
+    the normaliser does no more than lower letters, and the pre-tokeniser cuts between letters and marks.
     """
 
+    MARK = "•"  # stands between words; no plain word has it
+
     def __init__(self, path: str, split_safe: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given the cores out already
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.split_safe, self.cache = split_safe, {}
+        self.tokenizer, self.bare = self.load(path), self.load(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ids = self.bare.encode([self.MARK], is_pretokenized=True, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
+        self.split_safe, self.recent = split_safe, Recent(self.whole if self.mark_id is None else self.each, CACHE_WORDS)
+
+    @staticmethod
+    def load(path: str) -> Tokenizer:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if not self.split_safe:
-            return self.whole(texts)
-        cut = [WORD.findall(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        missing = sorted(set().union(*cut) - self.cache.keys())
-        self.cache.update(zip(missing, self.whole(missing), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for start in range(0, len(words), 1000):
+            part = words[start : start + 1000]
+            pieces, odd = [], []
+            for i, w in enumerate(part):
+                if m := PLAIN(w):
+                    pieces.append(m[1].lower())
+                    if m[2]:
+                        pieces.append(m[2])
+                else:
+                    odd.append(i)
+                pieces.append(self.MARK)
+            ids = np.array(self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id)
+            begins = [0, *(4 * ends[:-1] + 4).tolist()]
+            raw = ids.tobytes()
+            rows = [raw[a : 4 * b] for a, b in zip(begins, ends.tolist(), strict=True)]
+            for i, b in zip(odd, self.whole([part[i] for i in odd]), strict=True):
+                rows[i] = b
+            out += rows
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, with end_id after each, and where those of each text end."""
+        if self.split_safe:
+            names, at, ends = word_codes(texts)
+            rows = list(map(self.recent.lookup([names]), names))
+        else:
+            rows, at, ends = self.whole(texts.to_pylist()), np.arange(len(texts)), np.arange(1, len(texts) + 1)
+        rows.append(np.array([end_id], "<u4").tobytes())
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        held = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        at = np.insert(at.astype(np.int64), ends, len(rows) - 1)
+        counts = np.cumsum(sizes[at])
+        return held.take(pa.array(at)).flatten(), counts[ends + np.arange(len(ends))]
 
 
 @lru_cache(maxsize=2)
@@ -77,15 +121,14 @@ def write(df: DataFrame, path: str, vocab_path: str, end_id: int = 1, id_col: st
 
     Columns: id_col, file_no int, file_start long (ids before the row in its file), n_ids int, ids array<int>.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file_no, at = encoder(vocab_path, split_safe).encode_batch, TaskContext.get().partitionId(), 0
-        for ids, texts in id_text_slices(batches):
-            rows = [r + end for r in encode(texts)]
-            ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
-            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.record_batch([ids, pa.array(np.full(len(rows), file_no, np.int32)), pa.array(at + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int32()), tokens], names=[id_col, "file_no", "file_start", "n_ids", "ids"])
+        encode, file_no, at = encoder(vocab_path, split_safe).encode, TaskContext.get().partitionId(), 0
+        for part, texts in text_parts(batches, 1, SLICE_CHARS):
+            ids, ends = encode(texts, end_id)
+            ends = np.concatenate([[0], ends])
+            rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+            yield pa.record_batch([part.column(0), pa.array(np.full(len(rows), file_no, np.int32)), pa.array(at + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int32()), rows], names=[id_col, "file_no", "file_start", "n_ids", "ids"])
             at += int(ends[-1])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("file_no", T.IntegerType()), T.StructField("file_start", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..runtime import materialize, table
-from . import ann, bpe, chunks, mixing, near_dups, oracles, pii, quality, token_files, warc
+from . import ann, bpe, chunks, language, mixing, near_dups, oracles, pii, quality, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op1_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, index.where(F.col("id") % 100 == 0), 10)
 
 
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.cross_checked(table(spark, sf_dir, "documents"))
+
+
 def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_one_bit_ann": op1_one_bit_ann,
+        "op2_crf_language": op2_crf_language,
         "op3_disclosure_pii": op3_disclosure_pii,
         "op4_token_orc": op4_token_orc,
         "op5_source_mixing": op5_source_mixing,

@@ -1,25 +1,63 @@
-"""A corpus from raw documents to token ids: quality rules, near-dedup, PII, mixing, BPE.
+"""A corpus from raw documents to token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared
-folder and hands the reread table to the next stage. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder
+and hands the reread table to the next stage. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from oakgraph.llm import bpe, mixing, near_dups, pii, quality
+from oakgraph.runtime import materialize, table
 
-#: SQL has no encoder for byte-level BPE nor SHA-1 keyed sampling in floating point; see tests/llm.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8) stays, that with the smallest id."""
+    return near_dups.keep_one(docs, shingle_words=5)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are masked in the texts."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and their decoding, as digests."""
+    return bpe.digests(docs, VOCABULARY)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("pii", sanitise),
+    ("mix_sources", mix_sources),
+    ("bpe", encode),
+]
+
+#: DuckDB has no byte-level BPE encoder; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from oakgraph.runtime import materialize, table
-
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

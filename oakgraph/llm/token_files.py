@@ -34,12 +34,12 @@ from .common import Recent, text_parts, word_codes
 #: Distinct words in a generation of what a worker remembers.
 CACHE_WORDS = 300_000
 #: Characters encoded at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 6_000_000
 #: Broadcast the manifest up to so many files (24 bytes each).
 MANIFEST_ROWS = 200_000
 #: Letters whose lower case is one letter whatever is around them, and marks that are no part of a contraction.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)").fullmatch
-ORC = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
+ORC = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.bloom.filter.fpp": "0.01", "compression": "snappy"}
 
 
 class WordEncoder:

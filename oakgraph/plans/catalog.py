@@ -2,5 +2,538 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..functions import objects as O
+from ..operators import graph, refs, store, trees
+from ..runtime import materialize, table, work_path
+from ..streaming import packets
+from . import model
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+B = "blobs AS (SELECT doc_id, source, lang, sha1(concat('blob ', octet_length(encode(text)), chr(0), text)) AS oid, octet_length(encode(text))::BIGINT AS size FROM documents)"
+#: Tree of rows (g, perm, name, node) of a CTE.
+TREE = """SELECT {g}, sha1(encode('tree ' || len(raw) // 2 || chr(0)) || unhex(raw)) AS oid, n, (len(raw) // 2)::BIGINT AS size
+  FROM (SELECT {g}, string_agg(hex(encode({perm} || ' ' || {name})) || '00' || upper({node}), '' ORDER BY encode({name} || CASE WHEN {perm} = '40000' THEN '/' ELSE '' END)) AS raw, count(*) AS n FROM {t} GROUP BY ALL)"""
+TREES = f"""{B}, leaf AS (SELECT source, source || '/' || lang AS dir, lang, 'doc' || doc_id AS name, '100644' AS perm, oid AS node FROM blobs),
+t2 AS ({TREE.format(g="dir", perm="perm", name="name", node="node", t="(SELECT dir, perm, name, node FROM leaf)")}),
+e1 AS (SELECT split_part(dir, '/', 1) AS dir, '40000' AS perm, split_part(dir, '/', 2) AS name, oid AS node FROM t2),
+t1 AS ({TREE.format(g="dir", perm="perm", name="name", node="node", t="e1")}),
+e0 AS (SELECT '' AS dir, '40000' AS perm, dir AS name, oid AS node FROM t1),
+t0 AS ({TREE.format(g="dir", perm="perm", name="name", node="node", t="e0")})"""
+STAR = """star AS (
+  SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'nation' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'customer' FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'order' FROM orders UNION ALL (SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'part' FROM lineitem)
+  UNION ALL (SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey, 'supplier' FROM lineitem))"""
+COMMITS = "commits AS (SELECT 'e' || event_id AS node, 'e' || lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent, epoch_us(ts) // 1000000 AS ts, user_id, event_type FROM events)"
+HEADS = "heads AS (SELECT 'refs/heads/u' || user_id AS name, 'e' || (max_by(event_id, (ts, event_id))) AS oid FROM events GROUP BY user_id)"
+SYMBOLIC = f"""{HEADS}, symbolic AS (
+  SELECT name, oid, NULL::VARCHAR AS ref FROM heads
+  UNION ALL SELECT 'refs/alias/c' || c_custkey, CASE WHEN c_custkey <= 1 THEN 'e1' END, CASE WHEN c_custkey > 1 THEN 'refs/alias/c' || c_custkey // 2 END FROM customer
+  UNION ALL SELECT 'refs/cycle/n' || n_nationkey, NULL, 'refs/cycle/n' || (n_nationkey + 1) % 25 FROM nation
+  UNION ALL SELECT 'refs/lost/r' || r_regionkey, NULL, 'refs/none/r' || r_regionkey FROM region)"""
+RESOLVED = f"""{SYMBOLIC}, walk AS (
+  SELECT name, ref AS at, oid, 0 AS hops FROM symbolic
+  UNION ALL SELECT w.name, s.ref, s.oid, w.hops + 1 FROM walk w JOIN symbolic s ON w.at = s.name WHERE w.oid IS NULL AND w.hops < 70)"""
+
+
+# Objects
+
+
+@query(f"WITH {B} SELECT doc_id, oid, size, length('blob ' || size) + 1 + size AS whole FROM blobs")
+def blob_oid(spark, sf):
+    return model.blobs(spark, sf).select("doc_id", "oid", "size", O.length_with_header("blob", F.col("size")).alias("whole"))
+
+
+@query(f"WITH {B} SELECT oid, count(*) AS copies, min(doc_id) AS first_doc, any_value(size) AS size FROM blobs GROUP BY oid")
+def blob_dedup(spark, sf):
+    return model.blobs(spark, sf).groupBy("oid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.first("size").alias("size"))
+
+
+@query("SELECT doc_id, sha256(concat('blob ', octet_length(encode(text)), chr(0), text)) AS oid FROM documents")
+def blob_oid_sha256(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", O.object_id("blob", F.encode("text", "UTF-8"), "sha256").alias("oid"))
+
+
+@query("SELECT page_id, 'blob' AS kind, octet_length(encode(html))::BIGINT AS size, sha1(encode(html)) AS payload_sha1 FROM pages")
+def raw_header_split(spark, sf):
+    """Header and payload put together and taken apart again."""
+    parts = O.split_raw(O.raw("blob", F.encode("html", "UTF-8")))
+    return table(spark, sf, "pages").select("page_id", parts.alias("p")).select("page_id", "p.kind", "p.size", F.sha1("p.payload").alias("payload_sha1"))
+
+
+@query(f"WITH {TREES} SELECT dir, oid, n AS n_entries, size FROM t2")
+def tree_oid_by_source_lang(spark, sf):
+    entries = model.staged(spark, sf).select(F.substring_index("path", "/", 2).alias("dir"), "perm", F.substring_index("path", "/", -1).alias("name"), "node")
+    return trees.tree_ids(entries, "dir")
+
+
+@query(f"WITH {TREES} SELECT dir AS path, oid, size FROM t2 UNION ALL SELECT dir, oid, size FROM t1 UNION ALL SELECT dir, oid, size FROM t0")
+def write_tree(spark, sf):
+    """Every directory of the staged documents as a tree object, up to the root."""
+    return trees.write_trees(model.staged(spark, sf)).where("perm = '40000'").select("path", "oid", "size")
+
+
+MIXED = """mixed AS (
+  SELECT r_name AS tree, '40000' AS perm, n_name AS name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name, '100644', n_name || '.c', n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name, '100755', n_name || '1', n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+ORDERED = "SELECT tree, perm, name, row_number() OVER (PARTITION BY tree ORDER BY encode(name || CASE WHEN perm = '40000' THEN '/' ELSE '' END)) - 1 AS pos FROM {t}"
+
+
+def _mixed(spark, sf):
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = lambda perm, suffix: n.select(F.col("r_name").alias("tree"), F.lit(perm).alias("perm"), F.concat(F.col("n_name"), F.lit(suffix)).alias("name"), F.col("n_nationkey").cast("string").alias("node"))
+    return row("40000", "").unionAll(row("100644", ".c")).unionAll(row("100755", "1"))
+
+
+@query(f"WITH {MIXED} " + ORDERED.format(t="mixed"))
+def tree_entry_order(spark, sf):
+    return trees.ordered(_mixed(spark, sf)).select("tree", "perm", "name", F.col("pos").cast("long").alias("pos"))
+
+
+@query(
+    f"WITH {MIXED}, changed AS (SELECT tree, CASE WHEN perm = '40000' AND k % 2 = 0 THEN '100644' ELSE perm END AS perm, name FROM mixed WHERE NOT (perm = '100755' AND k % 3 = 0)) "
+    + ORDERED.format(t="changed")
+)
+def tree_add_remove(spark, sf):
+    """Directories with an even number replaced by files, some files taken out; still in canonical order."""
+    entries = _mixed(spark, sf)
+    number = F.col("node").cast("int")
+    gone = entries.where((F.col("perm") == "100755") & (number % 3 == 0)).select("tree", "name")
+    new = entries.where((F.col("perm") == "40000") & (number % 2 == 0)).withColumn("perm", F.lit("100644"))
+    return trees.ordered(trees.add(trees.remove(entries, gone), new)).select("tree", "perm", "name", F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT l_linenumber::INTEGER AS n, CASE l_linenumber WHEN 1 THEN '100644' WHEN 2 THEN '40000' WHEN 3 THEN '100755' END AS perm, count(*) AS rows FROM lineitem GROUP BY ALL")
+def perm_parse(spark, sf):
+    """Spellings of permissions; those that are none give null."""
+    spelled = F.when(F.col("l_linenumber") == 1, "44").when(F.col("l_linenumber") == 2, "040000").when(F.col("l_linenumber") == 3, "100755").otherwise("17")
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("n"), O.permission(spelled).alias("perm"))
+    return rows.groupBy("n", "perm").agg(F.count(F.lit(1)).alias("rows"))
+
+
+PAYLOAD = """payloads AS (SELECT node, 'tree 4b825dc642cb6eb9a060e54bf8d69288fbee4904' || chr(10) || coalesce('parent ' || sha1(parent) || chr(10), '')
+  || 'author u' || user_id || ' <u' || user_id || '@example.org> ' || ts || ' +0200' || chr(10) || 'committer u' || user_id || ' <u' || user_id || '@example.org> ' || ts || ' +0000' || chr(10)
+  || 'note a' || chr(10) || ' b' || chr(10) || chr(10) || event_type AS p FROM commits)"""
+
+
+def _commit_payloads(spark, sf):
+    c = model.commits(spark, sf)
+    who = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    line = lambda tz: O.user_line(who, F.concat(who, F.lit("@example.org")), F.col("ts"), F.lit(tz))
+    parents = F.array_compact(F.array(F.when(F.col("parent").isNotNull(), F.sha1("parent"))))
+    extra = F.array(F.struct(F.lit("note").alias("key"), F.array(F.lit("a"), F.lit("b")).alias("lines")))
+    return c.select("node", "event_type", O.commit_payload(F.lit(O.EMPTY_TREE), parents, line("+0200"), line("+0000"), extra, F.col("event_type")).alias("p"))
+
+
+@query(f"WITH {COMMITS}, {PAYLOAD} SELECT node, sha1(concat('commit ', octet_length(encode(p)), chr(0), p)) AS oid, octet_length(encode(p))::BIGINT AS size FROM payloads")
+def commit_oid(spark, sf):
+    return _commit_payloads(spark, sf).select("node", O.object_id("commit", F.col("p")).alias("oid"), F.octet_length("p").cast("long").alias("size"))
+
+
+@query(
+    f"WITH {COMMITS} SELECT node, sha1(parent) AS parent, 'u' || user_id AS name, 'u' || user_id || '@example.org' AS email, ts, 120::INTEGER AS author_tz, 0::INTEGER AS committer_tz, 'note' AS extra_key, 'a|b' AS extra_lines, event_type AS message FROM commits"
+)
+def commit_decode(spark, sf):
+    """Commits written and parsed again."""
+    c = _commit_payloads(spark, sf).select("node", O.parse_commit(F.col("p")).alias("c"))
+    first = F.col("c.extra")[0]
+    return c.select(
+        "node", F.get("c.parents", F.lit(0)).alias("parent"), "c.author.name", "c.author.email", "c.author.ts", F.col("c.author.tz").alias("author_tz"), F.coalesce("c.committer.tz", F.lit(0)).alias("committer_tz"),
+        first["key"].alias("extra_key"), F.array_join(first["lines"], "|").alias("extra_lines"), "c.message",
+    )
+
+
+@query(
+    f"""WITH {B}, p AS (SELECT l.doc_id, b.oid AS obj, 'object ' || b.oid || chr(10) || 'type blob' || chr(10) || 'tag q' || quality || '/' || l.doc_id || chr(10)
+    || CASE WHEN toxic = 0 THEN 'tagger judge <j@example.org> 1700000000 -0330' || chr(10) ELSE '' END || CASE WHEN quality = 1 THEN chr(10) || 'good' ELSE '' END AS p, quality, toxic FROM labels l JOIN blobs b USING (doc_id))
+    SELECT doc_id, obj, sha1(concat('tag ', octet_length(encode(p)), chr(0), p)) AS oid, 'q' || quality || '/' || doc_id AS tag, CASE WHEN toxic = 0 THEN -210 ELSE 0 END::INTEGER AS tz, CASE WHEN quality = 1 THEN 'good' END AS message FROM p"""
+)
+def tag_codec(spark, sf):
+    """Tags of labelled documents written, hashed, and parsed again."""
+    rows = table(spark, sf, "labels").join(model.blobs(spark, sf), "doc_id")
+    name = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    tagger = F.when(F.col("toxic") == 0, O.user_line(F.lit("judge"), F.lit("j@example.org"), F.lit(1700000000), F.lit("-0330")))
+    rows = rows.select("doc_id", O.tag_payload(F.col("oid"), F.lit("blob"), name, tagger, F.when(F.col("quality") == 1, F.lit("good"))).alias("p"))
+    rows = rows.select("doc_id", O.object_id("tag", F.col("p")).alias("oid"), O.parse_tag(F.col("p")).alias("t"))
+    return rows.select("doc_id", "t.obj", "oid", "t.tag", F.coalesce("t.tagger.tz", F.lit(0)).alias("tz"), "t.message")
+
+
+@query("SELECT c_custkey, c_name AS name, 'c' || c_custkey || '@example.org' AS email, 1600000000 + c_custkey AS ts, CASE WHEN c_nationkey % 2 = 1 THEN -(c_nationkey * 60 + 30) WHEN c_nationkey > 0 THEN c_nationkey * 60 + 30 ELSE 30 END::INTEGER AS tz FROM customer")
+def user_line_codec(spark, sf):
+    k = F.col("c_nationkey")
+    tz = O.zone(F.when(k % 2 == 1, F.lit("-")).otherwise(F.lit("+")), k, F.lit(30))
+    line = O.user_line(F.col("c_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.org")), F.lit(1600000000) + F.col("c_custkey"), tz)
+    return table(spark, sf, "customer").select("c_custkey", O.parse_user(line).alias("u")).select("c_custkey", "u.name", "u.email", "u.ts", "u.tz")
+
+
+@query(f"WITH {B} SELECT ('0x' || substr(oid, 1, 2))::INTEGER AS fanout, count(DISTINCT oid) AS n, (sum(count(DISTINCT oid)) OVER (ORDER BY ('0x' || substr(oid, 1, 2))::INTEGER))::BIGINT AS upto FROM blobs GROUP BY fanout")
+def fanout_histogram(spark, sf):
+    return store.fanout(model.blobs(spark, sf).select("oid").distinct())
+
+
+@query(f"WITH {B}, o AS (SELECT oid, any_value(size) AS size FROM blobs GROUP BY oid) SELECT oid, coalesce(sum(size) OVER (ORDER BY oid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, substr(oid, 1, 2) || '/' || substr(oid, 3) AS loose FROM o")
+def pack_index(spark, sf):
+    objects = store.objects_of(table(spark, sf, "documents"), "blob", F.encode("text", "UTF-8"))
+    return store.pack_index(objects).select("oid", "offset", O.loose_path(F.col("oid")).alias("loose"))
+
+
+@query(f"WITH {B} SELECT doc_id, EXISTS (SELECT 1 FROM blobs b WHERE b.doc_id % 3 <> 0 AND b.oid = a.oid) AS present FROM blobs a")
+def object_exists(spark, sf):
+    rows = model.blobs(spark, sf)
+    have = rows.where("doc_id % 3 <> 0").select(F.col("oid").alias("have")).distinct()
+    return rows.join(have, F.col("oid") == F.col("have"), "left").select("doc_id", F.col("have").isNotNull().alias("present"))
+
+
+@query(f"WITH {B} SELECT oid, min(doc_id) AS doc_id FROM blobs WHERE oid NOT IN (SELECT oid FROM blobs WHERE doc_id % 2 = 0) GROUP BY oid")
+def append_new(spark, sf):
+    """Writing all documents into a store that has those with even ids."""
+    rows = model.blobs(spark, sf)
+    new = rows.groupBy("oid").agg(F.min("doc_id").alias("doc_id"))
+    return store.append(rows.where("doc_id % 2 = 0"), new)
+
+
+@query(
+    f"""WITH {B}, a AS (SELECT oid, min(doc_id) AS doc_id, 0 AS tier FROM blobs WHERE doc_id % 2 = 0 GROUP BY oid UNION ALL SELECT oid, min(doc_id), 1 FROM blobs WHERE doc_id % 3 = 0 GROUP BY oid)
+    SELECT oid, arg_min(doc_id, tier) AS doc_id FROM a GROUP BY oid"""
+)
+def tiered_read(spark, sf):
+    """Two layers of a store, of which the first wins."""
+    rows = model.blobs(spark, sf)
+    layer = lambda n: rows.where(f"doc_id % {n} = 0").groupBy("oid").agg(F.min("doc_id").alias("doc_id"))
+    return store.tiers(layer(2), layer(3))
+
+
+# Paths and graphs
+
+
+@query(f"WITH {TREES} SELECT d.doc_id, l.node AS oid, l.node IS NOT NULL AS found FROM documents d LEFT JOIN leaf l ON l.dir = d.source || '/' || d.lang AND l.name = 'doc' || d.doc_id AND d.doc_id % 4 <> 0")
+def path_find(spark, sf):
+    """Paths of all documents from the root tree; every fourth is asked for below a wrong directory."""
+    written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
+    root = written.where("path = ''").select(F.col("oid").alias("root"))
+    first = F.when(F.col("doc_id") % 4 == 0, F.lit("nowhere")).otherwise(F.col("source"))
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.concat_ws("/", first, "lang", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("path"))
+    found = trees.find(trees.edges(written), asked.join(F.broadcast(root)))
+    return found.select(F.col("qid").alias("doc_id"), "oid", F.col("oid").isNotNull().alias("found"))
+
+
+@query(f"WITH {TREES} SELECT 'refs/heads/' || lang AS name, t.dir AS path, t.oid, 'tree' AS kind, t.size FROM t2 t, (SELECT DISTINCT lang FROM documents) l")
+def ref_path_lookup(spark, sf):
+    """References resolved to the root tree, and every directory of the second level found below each."""
+    written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
+    root = written.where("path = ''").select(F.col("oid").alias("root"))
+    langs = table(spark, sf, "documents").select("lang").distinct()
+    heads = langs.join(F.broadcast(root)).select(F.concat(F.lit("refs/heads/"), F.col("lang")).alias("name"), F.col("root").alias("oid"), F.lit(None).cast("string").alias("ref"))
+    resolved = refs.resolve(heads).select("name", F.col("oid").alias("root"))
+    second = written.where("perm = '40000' and depth = 2")
+    asked = resolved.join(F.broadcast(second.select("path"))).select(F.struct("name", "path").alias("qid"), "root", "path")
+    found = trees.find(trees.edges(written), asked).select("qid.name", "qid.path", "oid")
+    return found.join(second.select("path", F.lit("tree").alias("kind"), "size"), "path").select("name", "path", "oid", "kind", "size")
+
+
+@query(f"WITH {TREES} SELECT split_part(l.dir, '/', 1) AS root, kind, count(*) AS n, sum(size)::BIGINT AS total FROM (SELECT DISTINCT dir, b.oid, 'blob' AS kind, b.size FROM leaf JOIN blobs b ON b.oid = leaf.node UNION SELECT DISTINCT dir, oid, 'tree', size FROM t2) l GROUP BY ALL")
+def object_fold_sizes(spark, sf):
+    """Objects below each source's tree by kind: how many entries and bytes, each object once a directory."""
+    written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
+    sizes = model.blobs(spark, sf).select("oid", "size").distinct()
+    files = written.where("perm <> '40000'").select("parent", "oid").distinct().join(sizes, "oid").select(F.substring_index("parent", "/", 1).alias("root"), F.lit("blob").alias("kind"), "size")
+    dirs = written.where("perm = '40000' and depth = 2").select(F.substring_index("path", "/", 1).alias("root"), F.lit("tree").alias("kind"), "size")
+    return files.unionAll(dirs).groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+
+
+@query(f"WITH {TREES} SELECT DISTINCT t.oid AS src, l.node AS dst, l.name AS label FROM leaf l JOIN t2 t USING (dir) UNION SELECT t1.oid, e1.node, e1.name FROM e1 JOIN t1 USING (dir) UNION SELECT t0.oid, e0.node, e0.name FROM e0 JOIN t0 USING (dir)")
+def edges_all(spark, sf):
+    return trees.edges(trees.write_trees(model.staged(spark, sf))).select("src", "dst", "label")
+
+
+@query(f"""WITH {TREES} SELECT '"Tr-' || substr(t1.oid, 1, 8) || '" -> "Tr-' || substr(e1.node, 1, 8) || '" [label="' || e1.name || '"];' AS line FROM e1 JOIN t1 USING (dir)""")
+def dot_edges(spark, sf):
+    """Edges of the second level as Graphviz lines."""
+    written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
+    directories = written.where("perm = '40000' and depth > 0")
+    return trees.to_dot(trees.edges(directories), directories.select("oid", F.lit("tree").alias("kind")).distinct())
+
+
+@query(f"WITH {STAR} SELECT kind, count(*) AS n FROM star WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 5 <> 0 UNION SELECT 'n' || n_nationkey FROM nation) AND dst IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 5 <> 0 UNION SELECT 'o' || o_orderkey FROM orders) GROUP BY kind")
+def edges_present(spark, sf):
+    """Edges with both ends in a store that lacks some customers."""
+    key = lambda t, p, c: table(spark, sf, t).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("node"))
+    some = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    present = some.unionAll(key("nation", "n", "n_nationkey")).unionAll(key("orders", "o", "o_orderkey"))
+    return graph.present_edges(model.star(spark, sf), present).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {STAR}, walk AS (SELECT 'r0' AS node UNION SELECT dst FROM walk JOIN star ON src = node) SELECT node FROM walk")
+def closure_max(spark, sf):
+    """All that region 0 reaches."""
+    return graph.reach(model.star(spark, sf), spark.createDataFrame([("r0",)], "node string")).select("node")
+
+
+@query(f"""WITH RECURSIVE {STAR}, low AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 2 = 0),
+walk AS (SELECT 'r1' AS node UNION SELECT dst FROM walk JOIN star ON src = node WHERE dst NOT IN (SELECT node FROM low)) SELECT node FROM walk UNION SELECT node FROM low""")
+def closure_min_max(spark, sf):
+    """What region 1 reaches without passing customers of even number, with these."""
+    edges = materialize(model.star(spark, sf), "star")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    low = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return graph.closure(edges, nodes, low, spark.createDataFrame([("r1",)], "node string"))[0]
+
+
+@query(f"WITH RECURSIVE {STAR}, walk AS (SELECT 'r2' AS node, 0 AS level UNION SELECT dst, level + 1 FROM walk JOIN star ON src = node WHERE level < 3) SELECT node, min(level)::INTEGER AS level FROM walk GROUP BY node")
+def depth_limited(spark, sf):
+    return graph.reach(model.star(spark, sf), spark.createDataFrame([("r2",)], "node string"), max_depth=3)
+
+
+@query(f"WITH {STAR}, lv AS (SELECT dst, kind FROM star) SELECT level::INTEGER AS level, count(*) AS n FROM (SELECT DISTINCT src AS node, 0 AS level FROM star WHERE kind = 'nation' UNION SELECT dst, CASE kind WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'order' THEN 3 ELSE 4 END FROM star) GROUP BY level")
+def topo_level(spark, sf):
+    """Longest-path levels of the shared graph."""
+    edges = materialize(model.star(spark, sf), "star")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return graph.topological_levels(edges, nodes).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {COMMITS} SELECT node, first_value(node) OVER w AS root, row_number() OVER w - 1 AS depth FROM commits WINDOW w AS (PARTITION BY user_id ORDER BY ts, (substr(node, 2))::BIGINT)")
+def commit_chain(spark, sf):
+    """Root and depth of every commit in its chain, by pointer doubling."""
+    return graph.chains(model.commits(spark, sf).select("node", "parent"))
+
+
+@query(f"""WITH RECURSIVE {STAR}, a AS (SELECT 'n0' AS node UNION SELECT dst FROM a JOIN star ON src = node), b AS (SELECT 'n1' AS node UNION SELECT dst FROM b JOIN star ON src = node)
+SELECT node FROM a EXCEPT SELECT node FROM b""")
+def reach_diff(spark, sf):
+    """What nation 0 reaches and nation 1 does not."""
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    return graph.difference(materialize(model.star(spark, sf), "star"), one("n0"), one("n1"))
+
+
+@query(f"""WITH RECURSIVE {STAR}, a AS (SELECT 'n2' AS node UNION SELECT dst FROM a JOIN star ON src = node), b AS (SELECT 'n3' AS node UNION SELECT dst FROM b JOIN star ON src = node),
+c AS (SELECT node FROM a INTERSECT SELECT node FROM b) SELECT node, node NOT IN (SELECT dst FROM star WHERE src IN (SELECT node FROM c)) AS boundary FROM c""")
+def common_nodes(spark, sf):
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    return graph.common(materialize(model.star(spark, sf), "star"), one("n2"), one("n3"))
+
+
+@query(f"WITH {COMMITS} SELECT user_id, count(*) AS n_commits, count(parent) AS n_parents FROM commits GROUP BY user_id")
+def commit_parents(spark, sf):
+    return model.commits(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_commits"), F.count("parent").alias("n_parents"))
+
+
+@query(f"WITH {COMMITS} SELECT event_type, count(*) AS n FROM commits WHERE parent IS NOT NULL AND event_type <> (SELECT min(event_type) FROM events) GROUP BY event_type")
+def shallow_cut(spark, sf):
+    """Parent edges left when the commits of one type are shallow."""
+    c = model.commits(spark, sf)
+    first = table(spark, sf, "events").agg(F.min("event_type").alias("t"))
+    edges = c.where("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("kind"), "event_type")
+    shallow = c.join(F.broadcast(first), F.col("event_type") == F.col("t")).select(F.col("node").alias("oid"))
+    return graph.without_shallow(edges, shallow).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {COMMITS} SELECT node, ts, user_id FROM commits WHERE ts >= (SELECT max(ts) - 86400 FROM commits)")
+def commits_since(spark, sf):
+    c = model.commits(spark, sf)
+    edge = c.agg((F.max("ts") - 86400).alias("from_ts"))
+    return c.join(F.broadcast(edge), F.col("ts") >= F.col("from_ts")).select("node", "ts", "user_id")
+
+
+@query(f"WITH {COMMITS} SELECT user_id, node, row_number() OVER (PARTITION BY user_id ORDER BY ts, node) AS place FROM commits")
+def commit_date_order(spark, sf):
+    return model.commits(spark, sf).select("user_id", "node", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "node")).cast("long").alias("place"))
+
+
+@query(f"WITH {COMMITS} SELECT event_type, ts, node FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, node) AS r FROM commits) WHERE r = 1")
+def newest_per_type(spark, sf):
+    return refs.newest(model.commits(spark, sf), "event_type", "ts", "node")
+
+
+# References and exchange
+
+
+@query(f"WITH RECURSIVE {RESOLVED} SELECT s.name, w.oid, coalesce(w.hops, -1)::INTEGER AS hops, CASE WHEN w.oid IS NOT NULL THEN 'ok' WHEN s.name LIKE 'refs/cycle/%' THEN 'cycle' ELSE 'missing' END AS state FROM symbolic s LEFT JOIN walk w ON s.name = w.name AND w.oid IS NOT NULL")
+def ref_resolve(spark, sf):
+    return refs.resolve(model.symbolic(spark, sf)).withColumn("hops", F.coalesce("hops", F.lit(-1)))
+
+
+@query(f"WITH {HEADS}, packed AS (SELECT 'refs/heads/u' || user_id AS name, 'e' || min(event_id) AS oid FROM events GROUP BY user_id), loose AS (SELECT * FROM heads WHERE (substr(name, 13))::BIGINT % 2 = 0) SELECT coalesce(l.name, p.name) AS name, coalesce(l.oid, p.oid) AS oid, CASE WHEN l.name IS NULL THEN 'packed' ELSE 'loose' END AS layer FROM packed p FULL JOIN loose l ON l.name = p.name")
+def ref_list(spark, sf):
+    """Two layers of references."""
+    loose = model.heads(spark, sf).where(F.substring("name", 13, 20).cast("long") % 2 == 0).withColumn("ref", F.lit(None).cast("string"))
+    first = table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("e"))
+    packed = first.select(F.concat(F.lit("refs/heads/u"), F.col("user_id").cast("string")).alias("name"), F.concat(F.lit("e"), F.col("e").cast("string")).alias("oid"))
+    return refs.layered(loose, packed).select("name", "oid", "layer")
+
+
+UPSERT = "SELECT 'refs/heads/u' || user_id AS name, 'e' || max_by(event_id, (ts, event_id)) AS oid FROM events GROUP BY user_id HAVING max_by(event_id, (ts, event_id)) % 7 <> 0"
+
+
+def _writes(spark, sf):
+    e = table(spark, sf, "events")
+    oid = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    return e.select(F.concat(F.lit("refs/heads/u"), F.col("user_id").cast("string")).alias("name"), oid.alias("oid"), F.struct("ts", "event_id").alias("seq"))
+
+
+@query(UPSERT)
+def ref_upsert(spark, sf):
+    """Every event writes its user's reference, or deletes it; the last one counts."""
+    return refs.upsert(spark.createDataFrame([], "name string, oid string"), _writes(spark, sf))
+
+
+@query(UPSERT)
+def stream_ref_upsert(spark, sf):
+    """The same writes as a stream of files, applied batch by batch."""
+    source = work_path(spark, "ref-writes")
+    _writes(spark, sf).repartition(4, "name").write.parquet(source)
+    return packets.replay_refs(spark, source)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 3) THEN NULL WHEN c_custkey % 4 = 1 THEN 'refs/heads/' || c_mktsegment ELSE 'refs/tags/' || c_custkey END AS name FROM customer")
+def ref_name_valid(spark, sf):
+    """Names folded, and refused when empty or absolute."""
+    k = F.col("c_custkey")
+    given = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit("refs//heads///"), F.col("c_mktsegment"))).when(k % 4 == 2, F.concat(F.lit("refs/tags/"), k.cast("string"))).otherwise(F.concat(F.lit("/refs/"), k.cast("string")))
+    return table(spark, sf, "customer").select("c_custkey", N.clean_name(given).alias("name"))
+
+
+@query("SELECT s_suppkey, 3::INTEGER AS n, s_suppkey % 2 = 0 AS is_tag, CASE WHEN s_suppkey % 2 = 0 THEN 'refs/tags/s' ELSE 'refs/heads/s' END || s_suppkey || '/x' AS longer FROM supplier")
+def ref_segments(spark, sf):
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "refs/tags/s").otherwise("refs/heads/s"), F.col("s_suppkey").cast("string"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.size(N.segments(name)).alias("n"), N.is_tag_name(name).alias("is_tag"), N.append(name, F.lit("x")).alias("longer"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN sha1(c_name) END AS oid, CASE WHEN c_custkey % 3 = 1 THEN 'refs/heads/' || c_custkey END AS ref FROM customer")
+def ref_contents(spark, sf):
+    """Files of references, written and parsed; what is neither id nor name gives nulls."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, N.write_contents(F.sha1("c_name"), F.lit(None))).when(k % 3 == 1, N.write_contents(F.lit(None).cast("string"), F.concat(F.lit("refs/heads/"), k.cast("string")))).otherwise(F.lit("a b c\n"))
+    return table(spark, sf, "customer").select("c_custkey", N.parse_contents(text).alias("c")).select("c_custkey", "c.oid", "c.ref")
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host, CASE WHEN regexp_matches(url, '^[a-z]+://[^/]+/') THEN regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) ELSE '/' END AS path FROM pages")
+def endpoint_parse(spark, sf):
+    return table(spark, sf, "pages").select("page_id", N.parse_endpoint(F.col("url")).alias("e")).select("page_id", "e.scheme", "e.host", "e.path")
+
+
+ADVERTISED = f"""{HEADS}, advertised AS (SELECT name, oid, false AS peeled FROM heads UNION ALL SELECT 'refs/tags/t' || s_suppkey, 'e' || s_suppkey, false FROM supplier UNION ALL SELECT 'refs/tags/t' || s_suppkey, 'e' || (s_suppkey + 1), true FROM supplier)"""
+
+
+def _advertised(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    tag = lambda n, peeled: s.select(F.concat(F.lit("refs/tags/t"), k.cast("string")).alias("name"), F.concat(F.lit("e"), (k + n).cast("string")).alias("oid"), F.lit(peeled).alias("peeled"))
+    return model.heads(spark, sf).withColumn("peeled", F.lit(False)).unionAll(tag(0, False)).unionAll(tag(1, True))
+
+
+@query(f"WITH {ADVERTISED} SELECT 'all' AS asked, name, oid FROM advertised WHERE NOT peeled AND name NOT LIKE '%/tags/%' UNION ALL SELECT 'some', name, oid FROM advertised WHERE NOT peeled AND name IN (SELECT 'refs/tags/t' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+def fetch_refs(spark, sf):
+    """Advertised references that a fetch of all, or of some, asks for."""
+    ads = _advertised(spark, sf)
+    names = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("refs/tags/t"), F.col("s_suppkey").cast("string")).alias("name"))
+    pick = lambda asked, df: df.select(F.lit(asked).alias("asked"), "name", "oid")
+    return pick("all", refs.wanted(ads, None)).unionAll(pick("some", refs.wanted(ads, names)))
+
+
+@query(f"WITH {ADVERTISED} SELECT DISTINCT oid FROM advertised WHERE NOT peeled AND oid NOT IN (SELECT 'e' || event_id FROM events WHERE event_id % 2 = 0)")
+def wants(spark, sf):
+    local = table(spark, sf, "events").where("event_id % 2 = 0").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("oid"))
+    return refs.wants(_advertised(spark, sf).where("not peeled"), local)
+
+
+@query(f"WITH {HEADS}, specs AS (SELECT 'refs/heads/u' || user_id AS src, 'refs/remotes/' || event_type || '/u' || user_id AS dst FROM events WHERE user_id % 2 = 0) SELECT DISTINCT name AS src, coalesce(dst, name) AS dst FROM heads LEFT JOIN specs ON src = name")
+def refspec_map(spark, sf):
+    u = F.col("user_id").cast("string")
+    specs = table(spark, sf, "events").where("user_id % 2 = 0").select(F.concat(F.lit("refs/heads/u"), u).alias("src"), F.concat(F.lit("refs/remotes/"), F.col("event_type"), F.lit("/u"), u).alias("dst"))
+    return refs.map_refspecs(model.heads(spark, sf), specs.distinct())
+
+
+@query(
+    f"""WITH {HEADS}, rem AS (SELECT 'refs/heads/u' || user_id AS name, 'e' || min(event_id) AS oid FROM events WHERE user_id % 3 = 0 GROUP BY user_id),
+    cmd AS (SELECT CASE u % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'create' ELSE 'delete' END AS op, 'refs/heads/u' || u AS src, 'refs/heads/u' || (CASE WHEN u % 5 = 0 THEN u + 1 ELSE u END) AS dst FROM (SELECT DISTINCT user_id AS u FROM events)),
+    j AS (SELECT cmd.op, dst, r.oid AS old, h.oid AS new FROM cmd LEFT JOIN heads h ON h.name = src LEFT JOIN rem r ON r.name = dst),
+    k AS (SELECT CASE WHEN op = 'delete' THEN CASE WHEN old IS NOT NULL THEN 'delete' END WHEN new IS NOT NULL THEN CASE WHEN op = 'update' AND old IS NOT NULL THEN 'update' ELSE 'create' END END AS op, dst, old, new FROM j)
+    SELECT op, dst, CASE WHEN op <> 'create' THEN old END AS old_oid, CASE WHEN op <> 'delete' THEN new END AS new_oid FROM k WHERE op IS NOT NULL"""
+)
+def push_plan(spark, sf):
+    e = table(spark, sf, "events")
+    name = lambda c: F.concat(F.lit("refs/heads/u"), c.cast("string"))
+    remote = e.where("user_id % 3 = 0").groupBy("user_id").agg(F.min("event_id").alias("m")).select(name(F.col("user_id")).alias("name"), F.concat(F.lit("e"), F.col("m").cast("string")).alias("oid"))
+    u = F.col("user_id")
+    op = F.when(u % 3 == 0, "update").when(u % 3 == 1, "create").otherwise("delete")
+    commands = e.select("user_id").distinct().select(op.alias("op"), name(u).alias("src"), name(F.when(u % 5 == 0, u + 1).otherwise(u)).alias("dst"))
+    return refs.push_plan(commands, model.heads(spark, sf), remote)
+
+
+@query("SELECT user_id AS push, count(*) FILTER (event_id % 5 <> 0) AS n_ok, count(*) FILTER (event_id % 5 = 0) AS n_failed, count(*) FILTER (event_id % 5 = 0) = 0 AS ok FROM events GROUP BY user_id")
+def status_rollup(spark, sf):
+    line = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("ok refs/heads/"), F.col("event_type"))).otherwise(F.concat(F.lit("ng refs/heads/"), F.col("event_type"), F.lit(" locked")))
+    return refs.push_status(table(spark, sf, "events").select(F.col("user_id").alias("push"), line.alias("line")))
+
+
+@query(f"WITH {B}, got AS (SELECT DISTINCT oid FROM blobs WHERE doc_id % 2 = 0), need AS (SELECT DISTINCT oid FROM blobs WHERE doc_id % 4 < 2) SELECT oid, 'received' AS origin FROM got UNION ALL SELECT oid, 'store' FROM need WHERE oid NOT IN (SELECT oid FROM got) AND oid IN (SELECT oid FROM blobs WHERE doc_id % 8 < 4)")
+def thin_completion(spark, sf):
+    b = model.blobs(spark, sf)
+    return refs.complete_thin(b.where("doc_id % 2 = 0"), b.where("doc_id % 4 < 2"), b.where("doc_id % 8 < 4").select("oid").distinct())
+
+
+CAPS = "multi_ack_detailed ofs-delta agent=oak/1 symref=HEAD:refs/heads/main"
+
+
+@query("SELECT s_suppkey, unnest(['multi_ack_detailed', 'ofs-delta', 'agent', 'symref']) AS name, unnest([NULL, NULL, 'oak/' || s_suppkey, 'HEAD:refs/heads/main']) AS value FROM supplier")
+def capability_parse(spark, sf):
+    text = F.concat(F.lit("multi_ack_detailed ofs-delta agent=oak/"), F.col("s_suppkey").cast("string"), F.lit(" symref=HEAD:refs/heads/main"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(N.capabilities(text)).alias("c")).select("s_suppkey", "c.name", "c.value")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'multi_ack_detailed,ofs-delta' ELSE 'ofs-delta' END AS shared, CASE WHEN s_suppkey % 2 = 0 THEN 'detailed' ELSE 'none' END AS level FROM supplier")
+def caps_shared(spark, sf):
+    theirs = F.when(F.col("s_suppkey") % 2 == 0, "ofs-delta multi_ack_detailed thin-pack").otherwise("thin-pack ofs-delta")
+    both = N.shared_capabilities(F.lit(CAPS), theirs)
+    return table(spark, sf, "supplier").select("s_suppkey", F.array_join(both, ",").alias("shared"), N.ack_level(both).alias("level"))
+
+
+# Staging and packets
+
+
+@query("""WITH w AS (SELECT 'p' || l_partkey AS path, l_orderkey * 8 + l_linenumber AS seq, l_returnflag AS flag FROM lineitem),
+l AS (SELECT path, max(seq) AS seq, max_by(flag, seq) AS flag FROM w GROUP BY path), h AS (SELECT 'p' || p_partkey AS path FROM part)
+SELECT coalesce(h.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'kept' ELSE 'written' END AS state FROM h FULL JOIN l ON l.path = h.path WHERE l.path IS NULL OR l.flag <> 'R'""")
+def index_upsert(spark, sf):
+    """A staging table after a series of additions and removals by path; the last one of a path counts."""
+    w = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.when(F.col("l_returnflag") != "R", F.lit("written")).alias("oid"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+    have = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit("kept").alias("oid"))
+    return refs.upsert(have, w).select(F.col("name").alias("path"), F.col("oid").alias("state"))
+
+
+@query("SELECT l_linenumber::INTEGER AS line, (l_suppkey % 4)::INTEGER AS stage, (l_partkey % 2 = 1) AS assumed, count(*) AS n FROM lineitem GROUP BY ALL")
+def index_flags(spark, sf):
+    """Flag words put together and read with bit predicates."""
+    flags = (F.shiftleft((F.col("l_suppkey") % 4).cast("int"), 12)).bitwiseOR(F.when(F.col("l_partkey") % 2 == 1, F.lit(N.ASSUME_VALID)).otherwise(F.lit(0))).bitwiseOR(F.col("l_linenumber"))
+    rows = table(spark, sf, "lineitem").select(flags.alias("flags"))
+    return rows.groupBy(F.col("flags").bitwiseAND(F.lit(0xFFF)).alias("line"), N.stage(F.col("flags")).alias("stage"), N.flag(F.col("flags"), N.ASSUME_VALID).alias("assumed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id AS stream, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END::INTEGER AS channel, count(*) AS n, sum(octet_length(encode(event_type || props)))::BIGINT AS bytes FROM events GROUP BY ALL")
+def side_band_demux(spark, sf):
+    """Events framed as packets with a channel, then split by channel."""
+    e = table(spark, sf, "events")
+    body = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit(b"\x01")).when(F.col("event_id") % 3 == 1, F.lit(b"\x02")).otherwise(F.lit(b"\x03")), F.encode(F.concat("event_type", "props"), "UTF-8"))
+    framed = e.select(F.col("user_id").alias("stream"), packets.frame(body).alias("packet"))
+    return packets.demultiplex(framed).groupBy("stream", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))

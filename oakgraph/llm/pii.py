@@ -140,11 +140,17 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     filled = lambda a: F.filter(a, lambda w: w != "")
     before = F.reverse(F.slice(F.reverse(filled(before)), 1, CONTEXT_WORDS))
     context = F.concat(before, F.slice(filled(after), 1, CONTEXT_WORDS))
-    near = materialize(spotted.select(entity("s").alias("entity"), context.alias("context")).distinct(), "pii-contexts")
-    of_entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    terms = near.select("entity", F.explode(F.array_distinct("context")).alias("term")).where((F.length("term") >= MIN_TERM) & F.col("term").rlike(r"\p{L}"))
+    near = materialize(spotted.select(entity("s").alias("entity"), context.alias("context"), F.xxhash64("text").alias("h")).distinct(), "pii-contexts")
+    total = rows.select(F.xxhash64("text").alias("h")).distinct().count()
+    contexts = near.select("entity", "context").distinct()
+    of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    terms = contexts.select("entity", F.explode(F.array_distinct("context")).alias("term")).where((F.length("term") >= MIN_TERM) & F.col("term").rlike(r"\p{L}"))
     pairs = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = materialize(pairs.join(of_entity, "entity"), "pii-pairs")
+    # A pair reaches DISCLOSE only if n_t is at most n_te * (N / n_e) ** (1 - DISCLOSE); texts near any entity are a part of n_t.
+    least = near.select("h", F.explode(F.array_distinct("context")).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    most = F.col("n_te") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9)
+    pairs = pairs.join(of_entity, "entity").join(least, "term").where(F.col("n_near") <= most).drop("n_near")
+    pairs = materialize(pairs, "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     number = wanted.count()
     if not number:
@@ -152,7 +158,6 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted
     heard = rows.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split(F.lower("text"), NO_TERM, -1))).alias("term"))
     of_term = heard.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.select(F.xxhash64("text").alias("h")).distinct().count()
     together = F.least("n_te", "n_t")
     pmi = F.log2(together * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     content = -F.log2(F.col("n_e") / F.lit(float(total)))

@@ -138,5 +138,6 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; texts are read twice and not shuffled."""
     cuts = small(materialize(cutoffs(materialize(docs.select(*keyed(docs, seed)), "mix-keys")), "mix-cutoffs"))
     k, n = unused("mix_key", docs), unused("mix_copy", docs)
-    rows = docs.withColumn(k, F.struct(*keyed(docs, seed))).join(cuts.alias("c"), F.expr(f"`{k}`.source <=> c.source"))
-    return rows.withColumn(n, F.explode(F.expr("sequence(1, 3)"))).where(F.col(n) <= copies(k, "c")).select(docs.columns)
+    rows = docs.withColumn(k, F.struct(*keyed(docs, seed))).alias("d").join(cuts.alias("c"), F.expr(f"d.`{k}`.source <=> c.source"))
+    each = rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col(n) <= copies(f"d.{k}", "c"))
+    return each.select(*[F.col(f"d.`{c}`") for c in docs.columns])

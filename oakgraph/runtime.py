@@ -7,13 +7,18 @@ again, so that a lost executor costs a re-read and never a recomputation of the
 from __future__ import annotations
 
 import atexit
+import contextlib
+import pathlib
+import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +37,47 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they start; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    if root.is_dir():
+        folder = tempfile.mkdtemp(prefix="oakgraph-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    _SHIPPED.add(app)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 16 << 20):
+    """While it holds, batches for Python workers have ``size`` bytes at most, or what the session allows if that is less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    number, unit = re.match(r"(\d+)(\w?)", before).groups()
+    held = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit.lower(), 0)
+    spark.conf.set(name, str(min(size, held)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

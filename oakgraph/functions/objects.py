@@ -19,7 +19,6 @@ EMPTY_BLOB = "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 NULL_ID = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
 
-NUL = F.lit(b"\x00")
 
 
 def _bytes(text: Column) -> Column:
@@ -29,7 +28,7 @@ def _bytes(text: Column) -> Column:
 def header(kind: Column | str, size: Column) -> Column:
     """`<kind> <size>\\0` as BINARY."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.concat(_bytes(F.concat_ws(" ", kind, size.cast("string"))), NUL)
+    return F.concat(_bytes(F.concat_ws(" ", kind, size.cast("string"))), F.lit(b"\x00"))
 
 
 def length_with_header(kind: Column | str, size: Column) -> Column:

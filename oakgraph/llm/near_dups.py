@@ -5,8 +5,10 @@
 2. Representatives that agree on a band share a bucket. A pair at the threshold shares none with a probability
    of (1 - 0.8**5)**32 < 4e-6.
 3. Of a bucket, members meet a pivot rather than each other, and only where they are not yet in one component;
-   later rounds take other pivots, another one for each bucket. Pairs that remain in different components after
-   PIVOT_ROUNDS meet each other, so no candidate pair is left out that could change a component.
+   later rounds take other pivots, another one for each bucket. After PIVOT_ROUNDS, members outside the largest component
+   of their bucket are compared with all members of other components there, block by block inside tasks, which
+   hand on one link for each member and component at most. So no candidate pair is left out that could change a
+   component, and no table of all pairs of a group is made.
 4. Signatures of a pair are compared in batches of STEP; after each, the pair is dropped if the posterior
    probability that its similarity reaches the threshold, from a uniform prior, is below MISS.
 5. Survivors are verified on the full sets of shingles themselves, not their hashes.
@@ -24,28 +26,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialize
-from .common import Recent, id_text_slices, words
+from .common import SLICE_CHARS, text_parts, word_codes, words
 from .components import components
 
 BANDS, ROWS = 32, 5
 STEP = 32
 MISS = 1e-6
 THRESHOLD = 80  # per cent
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
+#: Shingles in a block, about; a longer set is a block of its own.
+BLOCK_SHINGLES = 250_000
 #: Broadcast ids up to so many rows (8 bytes each).
 BROADCAST_ROWS = 200_000
-#: Distinct words in a generation of what a worker remembers.
-CACHE_WORDS = 300_000
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(8)
@@ -53,32 +55,29 @@ _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
-def _word_hashes(strings: list[str]) -> list[bytes]:
-    return [xxhash.xxh3_64_intdigest(s.translate(_LOWER)).to_bytes(8, "little") for s in strings]
-
-
-@lru_cache(maxsize=1)
-def _recent() -> Recent:
-    """One per worker process."""
-    return Recent(_word_hashes, CACHE_WORDS)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(texts: list[str], k: int) -> Iterator[np.ndarray]:
+def shingle_hashes(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text."""
-    cut = [words(t) for t in texts]
-    get = _recent().lookup(cut)
-    for c in cut:
-        h = np.frombuffer(b"".join(map(get, c)), "<u8")
-        n = max(1, len(h) - k + 1) if len(h) else 0
-        s = np.full(n, min(len(h), k), np.uint64)
-        for j in range(min(k, len(h))):
-            s = _mix(s ^ h[j : j + n])
-        yield np.unique(s)
+    names, at, ends = word_codes(pc.ascii_lower(texts))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[at]
+    full = np.full(max(0, len(h) - k + 1), k, np.uint64)  # as if all texts were one; what spans two is never looked at
+    for j in range(k):
+        full = _mix(full ^ h[j : j + len(full)])
+    start = 0
+    for end in ends.tolist():
+        n = end - start
+        if n >= k:
+            yield np.unique(full[start : end - k + 1])
+        else:
+            short = np.full(min(n, 1), n, np.uint64)
+            for j in range(n):
+                short = _mix(short ^ h[start + j])
+            yield short
+        start = end
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -91,13 +90,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_hash, sig) of every whole text; set_hash and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in id_text_slices(batches):
+        for part, texts in text_parts(batches, 1, SLICE_CHARS):
             sizes, sets, sigs = [], [], []
             for hashes in shingle_hashes(texts, k):
                 sizes.append(len(hashes))
                 sets.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                 sigs.append(signature(hashes).tobytes() if len(hashes) else None)
-            yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sig"])
+            yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
 
@@ -156,20 +155,80 @@ def verify(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The (a, b) of pairs that are linked; pairs is a written table."""
-    for side in "ab":
-        pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    close = materialize(prune(pairs), "dup-close")
-    ids = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    ids = materialize(ids, "dup-ids")
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ids (id), a written table."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+
+
+def confirm(close: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The (a, b) of close, a written table, that are linked by their full sets."""
+    ids = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
+    texts = texts_of(materialize(ids, "dup-ids"), docs)
     for side in "ab":
         close = close.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
     return verify(close, k)
 
 
+def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The (a, b) of pairs that are linked."""
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    return confirm(materialize(prune(pairs), "dup-close"), docs, k)
+
+
+def crossing(lone: pa.Table, crowd: pa.Table) -> pa.Table:
+    """Likely links (a, b) of a block of lone members and a block of all, one for each lone member and component: rows of
+    (band, rep, component, hashes) of one bucket. A pair counts in the first band that it shares."""
+    if not lone.num_rows or not crowd.num_rows:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    bounds = np.array([least_matches(n) for n in range(STEP, BANDS * ROWS + 1, STEP)])
+    sets = [[np.frombuffer(b, np.uint64) for b in t.column("hashes").to_pylist()] for t in (lone, crowd)]
+    sigs = [np.array([signature(x) for x in each]) for each in sets]
+    ids, parts = crowd.column("rep").to_numpy(), crowd.column("component").to_numpy()
+    sizes = np.array([len(x) for x in sets[1]])
+    out = []
+    for x, own, part, band, sig in zip(sets[0], lone.column("rep").to_pylist(), lone.column("component").to_pylist(), lone.column("band").to_pylist(), sigs[0], strict=True):
+        same = sigs[1] == sig
+        first = same.reshape(len(same), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        matched = np.cumsum(same.reshape(len(same), -1, STEP).sum(axis=2), axis=1)
+        at = np.flatnonzero((parts != part) & (first == band) & (matched >= bounds).all(axis=1))
+        if not len(at):
+            continue
+        flat = np.concatenate([sets[1][i] for i in at])
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        common = np.add.reduceat(hit, np.cumsum(sizes[at]) - sizes[at])
+        good = at[100 * common >= THRESHOLD * (len(x) + sizes[at] - common)]
+        for i in good[np.unique(parts[good], return_index=True)[1]]:
+            out.append((min(own, int(ids[i])), max(own, int(ids[i]))))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def last_links(placed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Links between different components of a bucket; placed: a written table of (key, band, rep, component)."""
+    sets = texts_of(materialize(placed.select(F.col("rep").alias("id")).distinct(), "dup-ids"), docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_parts(batches, 1, SLICE_CHARS):
+            yield pa.record_batch([part.column(0), pa.array([h.tobytes() for h in shingle_hashes(texts, k)], pa.binary())], names=["rep", "hashes"])
+
+    sets = materialize(sets.mapInArrow(run, "rep long, hashes binary").dropDuplicates(["rep"]), "dup-sets")
+    weighed = materialize(placed.join(sets.select("rep", (F.octet_length("hashes") / 8).alias("weight")), "rep"), "dup-weighed")
+    parts = weighed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    blocks = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
+    most = F.max(F.struct("n", "component", "w"))
+    buckets = parts.groupBy("key").agg(blocks(F.sum("w")).alias("blocks"), F.greatest(blocks(F.sum("w") - most["w"]), F.lit(1)).alias("lone_blocks"), most["component"].alias("largest"))
+    rows = weighed.join(buckets, "key")
+    block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    crowd = rows.select("key", "band", "rep", "component", block(F.col("blocks"), 1).alias("i"), every(F.col("lone_blocks")).alias("j"))
+    lone = rows.where("component <> largest").select("key", "band", "rep", "component", block(F.col("lone_blocks"), 2).alias("j"), every(F.col("blocks")).alias("i"))
+    columns = ["key", "i", "j", "band", "rep", "component", "hashes"]
+    grouped = lambda df: df.join(sets, "rep").select(columns).toDF(*columns).groupBy("key", "i", "j")
+    close = grouped(lone).cogroup(grouped(crowd)).applyInArrow(crossing, "a long, b long")
+    return confirm(materialize(close.distinct(), "dup-close"), docs, k)
+
+
 def classes(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, rep, sig), a row for each document; rep is null for empty sets and null ids, sig is kept for
     representatives alone."""
@@ -184,33 +243,29 @@ def linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """classes(), and (node, component) of the representatives that are linked to others."""
     own = classes(docs, k)
     reps = materialize(own.where("sig is not null").select("rep", "sig").dropDuplicates(["rep"]), "dup-reps")
-    keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    rows = reps.select(keys.alias("key"), "rep")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    rows = reps.select(F.posexplode(keys).alias("band", "key"), "rep")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(rows.join(shared, "key"), "dup-buckets")
-    found, done = None, None  # links and pairs so far
     parts = members.sparkSession.createDataFrame([], "node long, component long")
+    found, done = None, None  # links and pairs so far
     for turn in range(PIVOT_ROUNDS + 1):
         placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         if turn:
             apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            placed = materialize(placed.where("size > 2").join(apart, "key", "left_semi"), "dup-apart")
-        if turn < PIVOT_ROUNDS:
+            placed = materialize(placed.where("size > 2").join(apart, "key", "left_semi").select("key", "band", "rep", "component"), "dup-apart")
+        if placed.isEmpty():
+            break
+        if turn == PIVOT_ROUNDS:
+            new = materialize(last_links(placed, docs, k), "dup-links")
+        else:
             order = F.xxhash64("rep", "key", F.lit(turn)) if turn else F.col("rep")
             pivots = placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), order).alias("pivot"))
             pairs = placed.join(pivots, "key").where("component <> pivot.component").select(F.col("pivot.rep").alias("p"), F.col("rep").alias("q"))
-        else:
-            other = placed.select("key", F.col("rep").alias("p"), F.col("component").alias("other"))
-            pairs = placed.join(other, "key").where("component < other").select("p", F.col("rep").alias("q"))
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "dup-pairs")
-        if pairs.isEmpty():
-            if turn == 0 or placed.isEmpty():
-                break
-            continue
-        new = materialize(links(pairs, reps, docs, k), "dup-links")
-        done = pairs if done is None else done.unionAll(pairs)
+            pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+            pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "dup-pairs")
+            done = pairs if done is None else done.unionAll(pairs)
+            new = materialize(links(pairs, reps, docs, k), "dup-links")
         found = new if found is None else found.unionAll(new)
         if not new.isEmpty():
             parts = materialize(components(found), "dup-components")

@@ -11,6 +11,7 @@ from ..functions import names as N
 from ..functions import objects as O
 from ..operators import graph, refs, store, trees
 from ..runtime import materialize, table, work_path
+from ..sources import files
 from ..streaming import packets
 from . import model
 
@@ -537,3 +538,42 @@ def side_band_demux(spark, sf):
     body = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit(b"\x01")).when(F.col("event_id") % 3 == 1, F.lit(b"\x02")).otherwise(F.lit(b"\x03")), F.encode(F.concat("event_type", "props"), "UTF-8"))
     framed = e.select(F.col("user_id").alias("stream"), packets.frame(body).alias("packet"))
     return packets.demultiplex(framed).groupBy("stream", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+# Files
+
+
+@query(f"WITH {B} SELECT DISTINCT oid, 'blob' AS kind, size FROM blobs")
+def loose_round_trip(spark, sf):
+    """Documents written as compressed object files and read back."""
+    root = work_path(spark, "loose")
+    files.write_loose(table(spark, sf, "documents").select(F.lit("blob").alias("kind"), F.encode("text", "UTF-8").alias("payload")), root)
+    return files.loose_objects(spark, root).select("oid", "kind", "size")
+
+
+@query("SELECT 'refs/heads/u' || user_id AS name, sha1('e' || max(event_id)) AS oid, CASE WHEN user_id % 3 = 0 THEN sha1('e' || min(event_id)) ELSE '' END AS peeled_oid FROM events GROUP BY user_id")
+def packed_refs_scan(spark, sf):
+    """References written as text, with peeled lines, and read back."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("x"), F.min("event_id").alias("y"))
+    name = lambda c: F.sha1(F.concat(F.lit("e"), F.col(c).cast("string")))
+    lines = F.concat(name("x"), F.lit(" refs/heads/u"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("\n^"), name("y"))).otherwise(F.lit("")))
+    path = work_path(spark, "packed")
+    spark.createDataFrame([("# pack-refs with: peeled",)], "line string").unionAll(e.select(lines)).repartition(2).write.text(path)
+    return files.packed_references(spark, path).withColumn("peeled_oid", F.coalesce("peeled_oid", F.lit("")))
+
+
+@query(f"WITH {TREES} SELECT t.oid AS tree, row_number() OVER (PARTITION BY t.dir ORDER BY encode(l.name)) - 1 AS pos, l.perm, l.name, l.node FROM leaf l JOIN t2 t USING (dir)")
+def tree_decode(spark, sf):
+    """Tree payloads built and taken apart again."""
+    entries = model.staged(spark, sf).select(F.substring_index("path", "/", 2).alias("dir"), "perm", F.substring_index("path", "/", -1).alias("name"), "node")
+    payload = O.tree_payload(F.col("perm"), F.col("name"), F.col("node"))
+    built = entries.groupBy("dir").agg(payload.alias("payload")).select(O.object_id("tree", F.col("payload")).alias("tree"), "payload")
+    return files.tree_entries(built).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {HEADS} SELECT name, oid, false AS peeled FROM heads UNION ALL SELECT 'refs/tags/t' || s_suppkey, 'e' || s_suppkey, false FROM supplier UNION ALL SELECT 'refs/tags/t' || s_suppkey, 'e' || (s_suppkey + 1), true FROM supplier")
+def advertised_refs(spark, sf):
+    """Advertised references framed as packets, and decoded."""
+    ads = _advertised(spark, sf)
+    line = F.concat("oid", F.lit(" "), "name", F.when(F.col("peeled"), F.lit("^{}")).otherwise(F.lit("")), F.lit("\n"))
+    return packets.decode_advertised(ads.select(packets.frame(F.encode(line, "UTF-8")).alias("packet")))

@@ -35,6 +35,14 @@ def demultiplex(packets: DataFrame) -> DataFrame:
     return body.withColumn("channel", channel).withColumn("payload", F.substring("body", 2, F.octet_length("body"))).drop("packet", "body")
 
 
+def decode_advertised(packets: DataFrame) -> DataFrame:
+    """(name, oid, peeled) of packets (packet) with `<id> <name>`, capabilities after a NUL left out; peeled names end in `^{}`."""
+    line = F.regexp_replace(F.substring_index(F.decode(unframe(F.col("packet")), "UTF-8"), "\x00", 1), "\n$", "")
+    rows = packets.select(line.alias("line")).where("line is not null")
+    name = F.regexp_extract("line", r"^\S+ (.*)$", 1)
+    return rows.select(F.regexp_replace(name, r"\^\{\}$", "").alias("name"), F.substring_index("line", " ", 1).alias("oid"), F.endswith(name, F.lit("^{}")).alias("peeled"))
+
+
 def replay_refs(spark: SparkSession, source: str, files_per_batch: int = 2) -> DataFrame:
     """References after a stream of write files (name, oid, seq), applied batch by batch.
 

@@ -104,4 +104,94 @@ SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id =
 FROM d
 """
 
-SQL = {"op1_one_bit_ann": OP1, "op7_warc_index": OP7, "op5_source_mixing": OP5, "op8_quality_rules": OP8}
+OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d
+), sizes AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), shingles AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id AND n.n * 5 >= m.n * 4 AND m.n * 5 >= n.n * 4
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+), steps AS (
+  SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links
+), walk AS (
+  SELECT DISTINCT x, x AS y FROM steps UNION SELECT walk.x, steps.y FROM walk JOIN steps ON walk.y = steps.x
+), parts AS (
+  SELECT x, min(y) AS component_id FROM walk GROUP BY x
+)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM sizes LEFT JOIN parts ON x = doc_id
+"""
+
+
+def _matches(kind: int, name: str, pattern: str, test: str) -> str:
+    """SQL for the valid matches of a kind: (r, k, kind, s, e, v)."""
+    return f"""
+  SELECT r, {kind} AS k, '{name}' AS kind, s, s + length(v) AS e, v FROM (
+    SELECT r, found[i] AS v, (coalesce(list_sum(list_transform(pieces[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM (SELECT r, found, string_split_regex(t, '{pattern}') AS pieces, unnest(range(1, len(found) + 1)) AS i
+          FROM (SELECT r, t, regexp_extract_all(t, '{pattern}') AS found FROM d) WHERE len(found) > 0))
+  WHERE {test}"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INTEGER ELSE {_DIGITS}[-i]::INTEGER * 2 - CASE WHEN {_DIGITS}[-i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_SPANS = " UNION ALL ".join((
+    _matches(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _matches(1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE ('0' || ltrim(x, '0'))::INTEGER END)) <= 255"),
+    _matches(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    _matches(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+))
+_OTHER = r"[^\p{L}\p{N}]+"
+
+OP3 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text IS NULL AS no_text, coalesce(text, '') AS t FROM documents
+), base AS ({_SPANS}
+), sides AS (
+  SELECT d.r, md5(t) AS h, k || ':' || CASE WHEN k >= 2 THEN {_DIGITS} ELSE lower(v) END AS entity, s,
+         string_split_regex(lower(substr(t, greatest(s - 120, 0) + 1, least(s, 120))), '{_OTHER}') AS before,
+         string_split_regex(lower(substr(t, e + 1, 120)), '{_OTHER}') AS after, length(substr(t, e + 1, 120)) AS ahead
+  FROM base JOIN d ON base.r = d.r
+), near AS (
+  SELECT DISTINCT h, entity, list_concat(
+    (list_filter(CASE WHEN s > 120 THEN before[2:] ELSE before END, lambda w: w <> ''))[-8:], (list_filter(CASE WHEN ahead = 120 THEN after[:-2] ELSE after END, lambda w: w <> ''))[:8]) AS context
+  FROM sides
+), contexts AS (
+  SELECT DISTINCT entity, context FROM near
+), entities AS (
+  SELECT entity, count(*) AS n_e FROM contexts GROUP BY entity HAVING count(*) >= 3
+), pairs AS (
+  SELECT entity, term, count(*) AS n_te FROM (SELECT DISTINCT entity, context, unnest(context) AS term FROM contexts)
+  WHERE length(term) >= 3 AND regexp_matches(term, '\p{{L}}') GROUP BY entity, term HAVING count(*) >= 3
+), heard AS (
+  SELECT term, count(DISTINCT h) AS n_t FROM (SELECT md5(t) AS h, unnest(list_distinct(string_split_regex(lower(t), '{_OTHER}'))) AS term FROM d WHERE NOT no_text)
+  WHERE term IN (SELECT term FROM pairs) GROUP BY term
+), total AS (
+  SELECT count(DISTINCT t)::DOUBLE AS n FROM d WHERE NOT no_text
+), terms AS (
+  SELECT DISTINCT term FROM pairs JOIN entities USING (entity) JOIN heard USING (term), total
+  WHERE n > n_e AND log2(least(n_te, n_t) * n / (n_t * n_e)) / -log2(n_e / n) >= 0.8
+), words AS (
+  SELECT r, found, string_split_regex(t, '[\p{{L}}\p{{N}}]+') AS pieces, unnest(range(1, len(found) + 1)) AS i
+  FROM (SELECT r, t, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS found FROM d WHERE list_has_any(string_split_regex(lower(t), '{_OTHER}'), (SELECT coalesce(list(term), []) FROM terms)))
+), places AS (
+  SELECT r, found[i] AS v, (coalesce(list_sum(list_transform(pieces[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM words WHERE lower(found[i]) IN (SELECT term FROM terms)
+), spans AS (
+  SELECT r, k, kind, s, e FROM base
+  UNION ALL SELECT r, 4, 'term', s, s + length(v) FROM places p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.s < p.s + length(p.v) AND p.s < b.e)
+), joined AS (
+  SELECT r, count(*) FILTER (k = 0) AS e, count(*) FILTER (k = 1) AS i, count(*) FILTER (k = 2) AS c, count(*) FILTER (k = 3) AS p,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS a
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM d LEFT JOIN joined USING (r)
+"""
+
+SQL = {"op3_disclosure_pii": OP3, "op6_bayesian_minhash": OP6, "op1_one_bit_ann": OP1, "op7_warc_index": OP7, "op5_source_mixing": OP5, "op8_quality_rules": OP8}

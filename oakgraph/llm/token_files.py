@@ -32,7 +32,7 @@ from .. import runtime
 from .common import Recent, text_parts, word_codes
 
 #: Distinct words in a generation of what a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Characters encoded at once.
 SLICE_CHARS = 6_000_000
 #: Broadcast the manifest up to so many files (24 bytes each).
@@ -48,19 +48,20 @@ class WordEncoder:
     The normaliser folds white space, the pre-tokeniser drops it, and no token spans it, so the ids of a text
     are those of its words in a row. ``split_safe`` must be False for vocabularies without that property.
     New words of plain Latin letters, with marks after them or not, are encoded together as words that are cut already: for them
-    the normaliser does no more than lower letters, and the pre-tokeniser cuts between letters and marks.
+    the normaliser does no more than lower letters, and the pre-tokeniser cuts between letters and marks. The last token of a
+    piece is one that carries the vocabulary's end of a word, which tells the pieces apart.
     """
 
-    MARK = "•"  # stands between words; no plain word has it
-
     def __init__(self, path: str, split_safe: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given the cores out already
         self.tokenizer, self.bare = self.load(path), self.load(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        ids = self.bare.encode([self.MARK], is_pretokenized=True, add_special_tokens=False).ids
-        self.mark_id = ids[0] if len(ids) == 1 else None
-        self.split_safe, self.recent = split_safe, Recent(self.whole if self.mark_id is None else self.each, CACHE_WORDS)
+        suffix = self.bare.model.end_of_word_suffix
+        self.closes = np.zeros(1 + max(self.bare.get_vocab().values()), bool)
+        if suffix:
+            self.closes[[i for t, i in self.bare.get_vocab().items() if t.endswith(suffix)]] = True
+        self.split_safe, self.recent = split_safe, Recent(self.each if suffix else self.whole, CACHE_WORDS)
 
     @staticmethod
     def load(path: str) -> Tokenizer:
@@ -76,20 +77,22 @@ class WordEncoder:
         out: list[bytes] = []
         for start in range(0, len(words), 1000):
             part = words[start : start + 1000]
-            pieces, odd = [], []
+            pieces, upto, odd = [], [0], []
             for i, w in enumerate(part):
-                if m := PLAIN(w):
+                if w.isascii() and w.isalpha():
+                    pieces.append(w.lower())
+                elif m := PLAIN(w):
                     pieces.append(m[1].lower())
                     if m[2]:
                         pieces.append(m[2])
                 else:
                     odd.append(i)
-                pieces.append(self.MARK)
+                upto.append(len(pieces))
             ids = np.array(self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            begins = [0, *(4 * ends[:-1] + 4).tolist()]
+            ends = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])  # of the pieces
+            places = (4 * ends[upto]).tolist()
             raw = ids.tobytes()
-            rows = [raw[a : 4 * b] for a, b in zip(begins, ends.tolist(), strict=True)]
+            rows = [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
             for i, b in zip(odd, self.whole([part[i] for i in odd]), strict=True):
                 rows[i] = b
             out += rows

@@ -43,7 +43,7 @@ def append(objects: DataFrame, new: DataFrame) -> DataFrame:
     return new.dropDuplicates(["oid"]).join(objects.select("oid"), "oid", "left_anti")
 
 
-def pack_index(objects: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+def pack_index(objects: DataFrame) -> DataFrame:
     """(oid, offset, crc, fanout): where objects lie when stored in the order of their ids; fanout is the first byte.
 
     Offsets are running sums, taken within a first byte and over the 256 totals, so no window holds all rows.

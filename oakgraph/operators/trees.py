@@ -73,14 +73,14 @@ def find(entries: DataFrame, queries: DataFrame) -> DataFrame:
     return open_rows.select("qid", "oid")
 
 
-def fold(edges_: DataFrame, objects: DataFrame, roots: DataFrame, reached: DataFrame) -> DataFrame:
-    """Sizes by kind of what each root reaches; reached: (root, node) pairs, each once."""
-    return roots.join(reached, "root").join(objects.select(F.col("oid").alias("node"), "kind", "size"), "node").groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("total"))
+def fold(objects: DataFrame, reached: DataFrame) -> DataFrame:
+    """(root, kind, n, total): number and bytes by kind of what each root reaches; reached: (root, node), each pair once."""
+    return reached.join(objects.select(F.col("oid").alias("node"), "kind", "size"), "node").groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("total"))
 
 
-def to_dot(edges_: DataFrame, kinds: DataFrame) -> DataFrame:
+def to_dot(links: DataFrame, kinds: DataFrame) -> DataFrame:
     """(line): edges as Graphviz lines; kinds: (oid, kind). Nodes are `C-`, `Tr-`, `Ta-` or `B-` and eight digits."""
     prefix = F.create_map(*(F.lit(x) for pair in {"commit": "C-", "tree": "Tr-", "tag": "Ta-", "blob": "B-"}.items() for x in pair))
     named = kinds.select("oid", F.concat(prefix[F.col("kind")], O.short_id(F.col("oid"))).alias("dot"))
     a, b = named.select(F.col("oid").alias("src"), F.col("dot").alias("a")), named.select(F.col("oid").alias("dst"), F.col("dot").alias("b"))
-    return edges_.join(a, "src").join(b, "dst").select(F.format_string('"%s" -> "%s" [label="%s"];', "a", "b", "label").alias("line"))
+    return links.join(a, "src").join(b, "dst").select(F.format_string('"%s" -> "%s" [label="%s"];', "a", "b", "label").alias("line"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import objects as O
 from ..operators import graph, refs, store, trees
-from ..runtime import materialize, table, work_path
+from ..runtime import empty, materialize, table, work_path
 from ..sources import files
 from ..streaming import packets
 from . import model
@@ -102,7 +102,7 @@ ORDERED = "SELECT tree, perm, name, row_number() OVER (PARTITION BY tree ORDER B
 
 
 def _mixed(spark, sf):
-    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     row = lambda perm, suffix: n.select(F.col("r_name").alias("tree"), F.lit(perm).alias("perm"), F.concat(F.col("n_name"), F.lit(suffix)).alias("name"), F.col("n_nationkey").cast("string").alias("node"))
     return row("40000", "").unionAll(row("100644", ".c")).unionAll(row("100755", "1"))
 
@@ -228,29 +228,34 @@ def tiered_read(spark, sf):
 # Paths and graphs
 
 
+def _root(written):
+    """The id of the root tree."""
+    row = written.where("path = ''").select("oid").first()
+    return F.lit(row["oid"] if row else O.EMPTY_TREE)
+
+
 @query(f"WITH {TREES} SELECT d.doc_id, l.node AS oid, l.node IS NOT NULL AS found FROM documents d LEFT JOIN leaf l ON l.dir = d.source || '/' || d.lang AND l.name = 'doc' || d.doc_id AND d.doc_id % 4 <> 0")
 def path_find(spark, sf):
     """Paths of all documents from the root tree; every fourth is asked for below a wrong directory."""
     written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
-    root = written.where("path = ''").select(F.col("oid").alias("root"))
     first = F.when(F.col("doc_id") % 4 == 0, F.lit("nowhere")).otherwise(F.col("source"))
-    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.concat_ws("/", first, "lang", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("path"))
-    found = trees.find(trees.edges(written), asked.join(F.broadcast(root)))
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.concat_ws("/", first, "lang", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("path"), _root(written).alias("root"))
+    found = trees.find(trees.edges(written), asked)
     return found.select(F.col("qid").alias("doc_id"), "oid", F.col("oid").isNotNull().alias("found"))
 
 
-@query(f"WITH {TREES} SELECT 'refs/heads/' || lang AS name, t.dir AS path, t.oid, 'tree' AS kind, t.size FROM t2 t, (SELECT DISTINCT lang FROM documents) l")
+@query(f"WITH {TREES} SELECT 'refs/heads/' || split_part(dir, '/', 2) AS name, dir AS path, oid, 'tree' AS kind, size FROM t2")
 def ref_path_lookup(spark, sf):
-    """References resolved to the root tree, and every directory of the second level found below each."""
+    """A reference for each language resolved to the root tree, and the directories of that language found below it."""
     written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
-    root = written.where("path = ''").select(F.col("oid").alias("root"))
-    langs = table(spark, sf, "documents").select("lang").distinct()
-    heads = langs.join(F.broadcast(root)).select(F.concat(F.lit("refs/heads/"), F.col("lang")).alias("name"), F.col("root").alias("oid"), F.lit(None).cast("string").alias("ref"))
-    resolved = refs.resolve(heads).select("name", F.col("oid").alias("root"))
-    second = written.where("perm = '40000' and depth = 2")
-    asked = resolved.join(F.broadcast(second.select("path"))).select(F.struct("name", "path").alias("qid"), "root", "path")
+    name = F.concat(F.lit("refs/heads/"), F.col("lang"))
+    dirs = table(spark, sf, "documents").select("lang", F.concat_ws("/", "source", "lang").alias("path")).distinct()
+    heads = dirs.select(name.alias("name"), _root(written).alias("oid"), F.lit(None).cast("string").alias("ref")).distinct()
+    resolved = refs.resolve(heads).where("state = 'ok'").select("name", F.col("oid").alias("root"))
+    asked = dirs.select(name.alias("name"), "path").join(resolved, "name").select(F.struct("name", "path").alias("qid"), "root", "path")
     found = trees.find(trees.edges(written), asked).select("qid.name", "qid.path", "oid")
-    return found.join(second.select("path", F.lit("tree").alias("kind"), "size"), "path").select("name", "path", "oid", "kind", "size")
+    sizes = written.where("perm = '40000' and depth = 2").select("path", F.lit("tree").alias("kind"), "size")
+    return found.join(sizes, "path").select("name", "path", "oid", "kind", "size")
 
 
 @query(f"WITH {TREES} SELECT split_part(l.dir, '/', 1) AS root, kind, count(*) AS n, sum(size)::BIGINT AS total FROM (SELECT DISTINCT dir, b.oid, 'blob' AS kind, b.size FROM leaf JOIN blobs b ON b.oid = leaf.node UNION SELECT DISTINCT dir, oid, 'tree', size FROM t2) l GROUP BY ALL")
@@ -344,17 +349,17 @@ def commit_parents(spark, sf):
 def shallow_cut(spark, sf):
     """Parent edges left when the commits of one type are shallow."""
     c = model.commits(spark, sf)
-    first = table(spark, sf, "events").agg(F.min("event_type").alias("t"))
+    first = table(spark, sf, "events").agg(F.min("event_type")).first()[0]
     edges = c.where("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("kind"), "event_type")
-    shallow = c.join(F.broadcast(first), F.col("event_type") == F.col("t")).select(F.col("node").alias("oid"))
+    shallow = c.where(F.col("event_type") == F.lit(first)).select(F.col("node").alias("oid"))
     return graph.without_shallow(edges, shallow).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {COMMITS} SELECT node, ts, user_id FROM commits WHERE ts >= (SELECT max(ts) - 86400 FROM commits)")
 def commits_since(spark, sf):
     c = model.commits(spark, sf)
-    edge = c.agg((F.max("ts") - 86400).alias("from_ts"))
-    return c.join(F.broadcast(edge), F.col("ts") >= F.col("from_ts")).select("node", "ts", "user_id")
+    newest = c.agg(F.max("ts")).first()[0]
+    return c.where(F.col("ts") >= F.lit(newest) - 86400).select("node", "ts", "user_id")
 
 
 @query(f"WITH {COMMITS} SELECT user_id, node, row_number() OVER (PARTITION BY user_id ORDER BY ts, node) AS place FROM commits")
@@ -396,7 +401,7 @@ def _writes(spark, sf):
 @query(UPSERT)
 def ref_upsert(spark, sf):
     """Every event writes its user's reference, or deletes it; the last one counts."""
-    return refs.upsert(spark.createDataFrame([], "name string, oid string"), _writes(spark, sf))
+    return refs.upsert(empty(spark, "name string, oid string"), _writes(spark, sf))
 
 
 @query(UPSERT)

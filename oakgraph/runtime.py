@@ -7,7 +7,6 @@ again, so that a lost executor costs a re-read and never a recomputation of the
 from __future__ import annotations
 
 import atexit
-import contextlib
 import pathlib
 import re
 import shutil
@@ -16,6 +15,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -58,26 +58,28 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, size: int = 16 << 20):
-    """While it holds, batches for Python workers have ``size`` bytes at most, or what the session allows if that is less."""
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hold batches for Python workers to ``size`` bytes, unless the session allows less.
+
+    Texts differ in length by orders of magnitude, and a batch is held by the JVM and by its worker at once.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    number, unit = re.match(r"(\d+)(\w?)", before).groups()
-    held = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit.lower(), 0)
-    spark.conf.set(name, str(min(size, held)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    number, unit = re.match(r"(\d+)(\w?)", spark.conf.get(name)).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit.lower(), 0) > size:
+        spark.conf.set(name, str(size))
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows that needs no Python worker."""
+    return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    with small_batches(spark):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

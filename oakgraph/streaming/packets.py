@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import refs
-from ..runtime import work_path
+from ..runtime import empty, work_path
 
 CHANNELS = {1: "data", 2: "progress", 3: "error"}
 
@@ -64,5 +64,5 @@ def replay_refs(spark: SparkSession, source: str, files_per_batch: int = 2) -> D
     run = stream.writeStream.foreachBatch(apply).option("checkpointLocation", work_path(spark, "ref-stream")).trigger(availableNow=True).start()
     run.awaitTermination()
     if not last:
-        return spark.createDataFrame([], "name string, oid string")
-    return refs.upsert(spark.createDataFrame([], "name string, oid string"), spark.read.parquet(f"{state}/{max(last)}"))
+        return empty(spark, "name string, oid string")
+    return refs.upsert(empty(spark, "name string, oid string"), spark.read.parquet(f"{state}/{max(last)}"))

@@ -11,7 +11,7 @@ the one with the largest mean, which is its score.
 Texts of a slice are worked on together, position by position, longest first; no rows are shuffled to predict.
 
 Defined cases: a null text or one without letters gives `und` with score 0; documents with a null language are
-predicted but not learned from; without any training document all are `und`; ties go to the language that comes
+predicted but not learned from; without any training document all are `und`; more than MOST_LANGUAGES languages are refused; ties go to the language that comes
 first by code point; repeated rows each give a row; a null id counts as the empty string in the split; other columns are left
 out.
 """
@@ -34,10 +34,11 @@ NGRAM = 4
 BITS = 18
 LEXICON = 50_000
 SAMPLE = 300  # documents a language
+MOST_LANGUAGES = 500
 SEGMENTS, STRETCH = 4, 12
 LENGTH = 48  # words of a training sequence
 EPOCHS, RATE, DECAY = 40, 0.05, 1e-4
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 FOLDS = 5
 
 
@@ -236,6 +237,8 @@ def fit(docs: DataFrame) -> Model | None:
     langs = sorted(chosen["lang"].unique())
     if not langs:
         return None
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are more than the {MOST_LANGUAGES} that one model is made for")
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")
     texts = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text", "doc_id").toPandas()
     texts = texts.sort_values(["doc_id", "lang", "text"], kind="stable")

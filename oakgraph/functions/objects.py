@@ -51,6 +51,11 @@ def blob_id(text: Column) -> Column:
     return object_id("blob", _bytes(text))
 
 
+def link_id(target: Column) -> Column:
+    """Id of a symbolic link: the blob of its target, with slashes either way as slashes."""
+    return blob_id(F.translate(target, "\\", "/"))
+
+
 def permission(written: Column) -> Column:
     """The permission that a tree entry's digits stand for, or null."""
     known = F.when(written.isin(*PERMISSIONS), written)

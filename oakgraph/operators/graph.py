@@ -14,6 +14,40 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 
+def object_edges(commits: DataFrame, parents: DataFrame, tags: DataFrame, entries: DataFrame, full: bool = True) -> DataFrame:
+    """(src, dst, kind, label) of all objects: commits (oid, tree), parents (oid, parent, pos), tags (oid, obj, tag), tree entries (tree, name,
+    node). Without full, the edges between commits alone."""
+    lone = parents.select(F.col("oid").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("kind"), F.col("pos").cast("string").alias("label"))
+    if not full:
+        return lone
+    root = commits.select(F.col("oid").alias("src"), F.col("tree").alias("dst"), F.lit("root").alias("kind"), F.lit("").alias("label"))
+    tag = tags.select(F.col("oid").alias("src"), F.col("obj").alias("dst"), F.lit("tag").alias("kind"), F.col("tag").alias("label"))
+    entry = entries.select(F.col("tree").alias("src"), F.col("node").alias("dst"), F.lit("entry").alias("kind"), F.col("name").alias("label"))
+    return lone.unionByName(root).unionByName(tag).unionByName(entry)
+
+
+def reach_named(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, path): what seeds (node) reach, with the labels on the way joined by slashes; of several ways in as many steps the
+    path that comes first."""
+    step = edges.select("src", "dst", "label").distinct()
+    seen = fresh = materialize(seeds.select("node", F.lit("").alias("path")).distinct(), "named")
+    while not fresh.isEmpty():
+        ahead = step.join(fresh.select(F.col("node").alias("src"), "path"), "src")
+        path = F.when(F.col("path") == "", F.col("label")).otherwise(F.concat_ws("/", "path", "label"))
+        ahead = ahead.groupBy(F.col("dst").alias("node")).agg(F.min(path).alias("path"))
+        fresh = materialize(ahead.join(seen, "node", "left_anti"), "named")
+        seen = seen.unionAll(fresh)
+    return seen
+
+
+def pack_order(edges: DataFrame, nodes: DataFrame, objects: DataFrame) -> DataFrame:
+    """(oid, kind, size, level) of the nodes of a closure, to be sent by level: what needs others before what they need. edges as
+    closure() turns them; a node without object raises an error."""
+    levels = topological_levels(edges, nodes).select(F.col("node").alias("oid"), "level")
+    found = levels.join(objects, "oid", "left")
+    return found.withColumn("kind", F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("no object "), "oid"))).otherwise(F.col("kind"))).select("oid", "kind", "size", "level")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, level): what can be reached from seeds (node), level being the fewest steps.
 

@@ -545,6 +545,75 @@ def side_band_demux(spark, sf):
     return packets.demultiplex(framed).groupBy("stream", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
 
 
+# All kinds of objects together
+
+
+@query(f"""WITH {B}, {COMMITS}, leaf AS (SELECT source || '/' || lang AS dir, 'doc' || doc_id AS name, oid FROM blobs)
+SELECT kind, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM (
+  SELECT node AS src, parent AS dst, 'parent' AS kind FROM commits WHERE parent IS NOT NULL UNION ALL SELECT node, '4b825dc642cb6eb9a060e54bf8d69288fbee4904', 'root' FROM commits
+  UNION ALL SELECT 'tag' || l.doc_id, oid, 'tag' FROM labels l JOIN blobs USING (doc_id) UNION ALL SELECT dir, oid, 'entry' FROM leaf) GROUP BY kind""")
+def edges_by_kind(spark, sf):
+    c, b = model.commits(spark, sf), model.blobs(spark, sf)
+    commits = c.select(F.col("node").alias("oid"), F.lit(O.EMPTY_TREE).alias("tree"))
+    parents = c.where("parent is not null").select(F.col("node").alias("oid"), "parent", F.lit(0).alias("pos"))
+    tags = table(spark, sf, "labels").join(b, "doc_id").select(F.concat(F.lit("tag"), F.col("doc_id").cast("string")).alias("oid"), F.col("oid").alias("obj"), F.col("quality").cast("string").alias("tag"))
+    entries = b.select(F.concat_ws("/", "source", "lang").alias("tree"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("oid").alias("node"))
+    edges = graph.object_edges(commits, parents, tags, entries)
+    return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"))
+
+
+@query(f"WITH {TREES}, steps AS (SELECT dir AS path, oid FROM t2 UNION ALL SELECT dir, oid FROM t1 UNION ALL SELECT dir || '/' || name, node FROM leaf) SELECT oid AS node, min(path) AS path FROM steps GROUP BY oid UNION ALL SELECT oid, '' FROM t0")
+def named_traversal(spark, sf):
+    """All objects below the root tree, each with the first path that leads there."""
+    written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
+    return graph.reach_named(trees.edges(written), written.where("path = ''").select(F.col("oid").alias("node")))
+
+
+@query(f"""WITH RECURSIVE {STAR}, walk AS (SELECT 'n4' AS node UNION SELECT dst FROM walk JOIN star ON src = node)
+SELECT node AS oid, CASE substr(node, 1, 1) WHEN 'n' THEN 'nation' WHEN 'c' THEN 'customer' WHEN 'o' THEN 'order' WHEN 'p' THEN 'part' ELSE 'supplier' END AS kind,
+CASE substr(node, 1, 1) WHEN 'n' THEN d WHEN 'c' THEN d - 1 WHEN 'o' THEN d - 2 ELSE 0 END::INTEGER AS level
+FROM walk, (SELECT 3 AS d) WHERE substr(node, 1, 1) IN ('p', 's', 'n') OR node IN (SELECT src FROM star)""")
+def pack_select(spark, sf):
+    """What a nation reaches, in the order in which it is needed; the nation's own customers all have orders with lines, or they count as leaves."""
+    edges = materialize(model.star(spark, sf), "star")
+    leafless = edges.select(F.col("src").alias("dst")).distinct()
+    ends = F.col("dst").rlike("^[ps]")
+    edges = materialize(edges.where(ends).unionByName(edges.where(~ends).join(leafless, "dst", "left_semi").select("src", "dst", "kind")), "star")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    kind = F.create_map(*(F.lit(x) for pair in {"n": "nation", "c": "customer", "o": "order", "p": "part", "s": "supplier", "r": "region"}.items() for x in pair))
+    objects = nodes.select(F.col("node").alias("oid"), kind[F.substring("node", 1, 1)].alias("kind"), F.lit(0).cast("long").alias("size"))
+    inner, turned = graph.closure(edges, nodes, nodes.where("false"), spark.range(1).select(F.lit("n4").alias("node")))
+    return graph.pack_order(turned, inner, objects).select("oid", "kind", "level")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'want' WHEN 1 THEN 'ack' WHEN 2 THEN 'ng' WHEN 3 THEN 'create' ELSE 'flush' END AS type, CASE WHEN event_id % 5 IN (0, 1, 3) THEN sha1('e' || event_id) ELSE '' END AS oid, CASE event_id % 5 WHEN 1 THEN 'common' WHEN 2 THEN 'refs/heads/' || event_type || ' locked' WHEN 3 THEN 'refs/heads/' || event_type ELSE '' END AS detail FROM events")
+def wire_messages(spark, sf):
+    """Lines of an exchange framed as packets, and decoded."""
+    k, oid, name = F.col("event_id") % 5, F.sha1(F.concat(F.lit("e"), F.col("event_id").cast("string"))), F.concat(F.lit("refs/heads/"), F.col("event_type"))
+    line = F.when(k == 0, F.concat(F.lit("want "), oid, F.lit("\n"))).when(k == 1, F.concat(F.lit("ACK "), oid, F.lit(" common\n"))).when(k == 2, F.concat(F.lit("ng "), name, F.lit(" locked\n"))).when(k == 3, F.concat(F.lit("0" * 40), F.lit(" "), oid, F.lit(" "), name))
+    rows = table(spark, sf, "events").select("event_id", packets.frame(F.encode(line, "UTF-8")).alias("packet"))
+    return packets.decode_messages(rows).select("event_id", "type", F.coalesce("oid", F.lit("")).alias("oid"), F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+@query("WITH " + TREES.replace("FROM documents)", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3))") + " SELECT dir AS path, oid, size FROM t2 UNION ALL SELECT dir, oid, size FROM t1 UNION ALL SELECT dir, oid, size FROM t0")
+def key_value_insert(spark, sf):
+    """Values put under some paths and others taken away, and all directories written anew."""
+    staged = model.staged(spark, sf).select(F.col("path").alias("name"), F.col("node").alias("oid"))
+    number = F.regexp_extract("name", r"doc([0-9]+)$", 1).cast("long")
+    put = staged.where((number % 10 == 0) & (number % 7 != 3)).select("name", O.blob_id(F.lit("changed")).alias("oid"), F.lit(1).alias("seq"))
+    gone = staged.where(number % 7 == 3).select("name", F.lit(None).cast("string").alias("oid"), F.lit(2).alias("seq"))
+    files_ = refs.upsert(staged, put.unionAll(gone)).select(F.col("name").alias("path"), F.lit("100644").alias("perm"), F.col("oid").alias("node"))
+    return trees.write_trees(files_).where("perm = '40000'").select("path", "oid", "size")
+
+
+@query(f"WITH {COMMITS} SELECT c.node, p.node AS parent, p.ts AS parent_ts, c.ts - p.ts AS gap FROM commits c JOIN commits p ON c.parent = p.node")
+def parent_dates(spark, sf):
+    """Commits joined with their parents' dates."""
+    c = model.commits(spark, sf)
+    p = c.select(F.col("node").alias("parent"), F.col("ts").alias("parent_ts"))
+    return c.join(p, "parent").select("node", "parent", "parent_ts", (F.col("ts") - F.col("parent_ts")).alias("gap"))
+
+
 # Files
 
 

@@ -35,6 +35,33 @@ def demultiplex(packets: DataFrame) -> DataFrame:
     return body.withColumn("channel", channel).withColumn("payload", F.substring("body", 2, F.octet_length("body"))).drop("packet", "body")
 
 
+def message(line: Column) -> Column:
+    """STRUCT of type, oid and detail of a line of an exchange: want, have, shallow, unshallow, deepen, ack, nak, done, unpack, ok, ng,
+    or a command (create, update, delete; oid is the new id, or the old one of what goes); null if it is none of these."""
+    head, rest = F.substring_index(line, " ", 1), F.regexp_extract(line, r"^\S+ (.*)$", 1)
+    zeros = "0" * 40
+    command = r"^([0-9a-f]{40}) ([0-9a-f]{40}) (\S+)$"
+    old, new, name = (F.regexp_extract(line, command, i) for i in (1, 2, 3))
+    none = F.lit(None).cast("string")
+    row = lambda kind, oid, detail: F.struct(kind.alias("type"), oid.alias("oid"), detail.alias("detail"))
+    after = lambda c: F.nullif(F.regexp_extract(c, r"^\S+ (.*)$", 1), F.lit(""))
+    return (
+        F.when(head.isin("want", "have", "shallow", "unshallow"), row(head, F.substring_index(rest, " ", 1), after(rest)))
+        .when(head == "ACK", row(F.lit("ack"), F.substring_index(rest, " ", 1), after(rest)))
+        .when(head == "NAK", row(F.lit("nak"), none, none))
+        .when(head == "done", row(head, none, none))
+        .when(head.isin("deepen", "unpack", "ok", "ng"), row(head, none, rest))
+        .when(line.rlike(command), row(F.when(old == zeros, F.lit("create")).when(new == zeros, F.lit("delete")).otherwise(F.lit("update")), F.when(new == zeros, old).otherwise(new), name))
+    )
+
+
+def decode_messages(packets: DataFrame) -> DataFrame:
+    """packets (..., packet) with type, oid and detail for packet; flushes have the type flush."""
+    line = F.regexp_replace(F.decode(unframe(F.col("packet")), "UTF-8"), "\n$", "")
+    rows = packets.withColumn("line", line).withColumn("m", F.coalesce(message(F.col("line")), F.when(F.col("line").isNull(), F.struct(F.lit("flush").alias("type"), F.lit(None).cast("string").alias("oid"), F.lit(None).cast("string").alias("detail")))))
+    return rows.select(*[c for c in packets.columns if c != "packet"], "m.type", "m.oid", "m.detail")
+
+
 def decode_advertised(packets: DataFrame) -> DataFrame:
     """(name, oid, peeled) of packets (packet) with `<id> <name>`, capabilities after a NUL left out; peeled names end in `^{}`."""
     line = F.regexp_replace(F.substring_index(F.decode(unframe(F.col("packet")), "UTF-8"), "\x00", 1), "\n$", "")

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakgraph.llm import bpe, mixing, near_dups, pii, quality
-from oakgraph.runtime import materialize, table
+from oakgraph.runtime import materialize, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -41,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their decoding, as digests."""
+    small_batches(spark)
     return bpe.digests(docs, VOCABULARY)
 
 

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text_slices
+from .common import Recent, id_text_slices
 
-#: Distinct pieces that one worker remembers; beyond that it starts anew.
-CACHE_PIECES = 400_000
+#: Distinct pieces in a generation of what a worker remembers.
+CACHE_PIECES = 150_000
 
 #: Fixed value: how the vocabulary's texts are cut before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,7 +80,7 @@ class SpeculativeBpe:
         self.sound = np.zeros(size, np.int8)  # 1: the token's bytes encode to the token; 2: they don't
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = regex.compile(PIECES).findall
-        self.cache: dict[str, bytes] = {}
+        self.recent = Recent(self.learn, CACHE_PIECES)
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -141,8 +141,8 @@ class SpeculativeBpe:
                 heapq.heappush(heap, (m[0], h, ids[h], made, m[1]))
         return [x for x in ids if x >= 0]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not in the cache yet."""
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces; a special token's string is a piece of its own."""
         words = [p.encode() for p in pieces]
         proposals = [self.propose(w) for w in words]
         sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
@@ -155,20 +155,17 @@ class SpeculativeBpe:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         fails[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
         ids, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-        start = 0
+        out, start = [], 0
         for p, w, bad, end in zip(pieces, words, fails.tolist(), ends, strict=True):
-            self.cache[p] = np.array(self.merge_exactly(w), "<u4").tobytes() if bad else ids[start:end]
+            own = [self.special[p]] if p in self.special else self.merge_exactly(w) if bad else None
+            out.append(ids[start:end] if own is None else np.array(own, "<u4").tobytes())
             start = end
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.cut(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        missing = set().union(*cut) - self.cache.keys()
-        if missing:
-            self.learn(sorted(missing))
-        get = self.cache.__getitem__
+        get = self.recent.lookup(cut)
         return [b"".join(map(get, c)) for c in cut]
 
     def cut(self, text: str) -> list[str]:
@@ -178,7 +175,6 @@ class SpeculativeBpe:
         out, at = [], 0
         for m in self.split.finditer(text):
             out += self.pieces(text[at : m.start()])
-            self.cache[m[0]] = np.array([self.special[m[0]]], "<u4").tobytes()
             out.append(m[0])
             at = m.end()
         return out + self.pieces(text[at:])
@@ -193,15 +189,20 @@ def codec(path: str) -> SpeculativeBpe:
     return SpeculativeBpe(path)
 
 
-def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids_le binary): the token ids of every whole text as little-endian unsigned 32-bit integers; no shuffle."""
+def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids_le binary): the token ids of every whole text as little-endian unsigned 32-bit integers; no shuffle.
+
+    decoded: with a column of that name, the text decoded from the ids in the same worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab_path)
         for ids, texts in id_text_slices(batches):
-            yield pa.record_batch([ids, pa.array(bpe.encode_batch(texts), pa.binary())], names=[id_col, "ids_le"])
+            rows = bpe.encode_batch(texts)
+            columns = [ids, pa.array(rows, pa.binary()), *([pa.array(map(bpe.decode, rows), pa.string())] if decoded else [])]
+            yield pa.record_batch(columns, names=[id_col, "ids_le", "decoded"][: len(columns)])
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids_le", T.BinaryType())])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids_le", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -224,7 +225,7 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids_le") -> DataFrame
 
 def digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_tokens, and the SHA-256 of its ids and of the text decoded from them."""
-    done = decode(encode(df, vocab_path, id_col, text_col), vocab_path)
+    done = encode(df, vocab_path, id_col, text_col, decoded=True)
     return done.select(
         id_col,
         F.expr("cast(octet_length(ids_le) div 4 as bigint)").alias("n_tokens"),

@@ -22,7 +22,7 @@ def words(text: str) -> list[str]:
 
 
 #: Texts handed to one vectorised step at once, in characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def text_parts(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -39,6 +39,8 @@ def text_parts(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> I
             end = max(start + 1, int(np.searchsorted(held, base + limit, "right")))
             yield batch.slice(start, end - start), column.slice(start, end - start)
             start = end
+        del batch, column
+        pa.default_memory_pool().release_unused()
 
 
 def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

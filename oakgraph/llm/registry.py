@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from ..runtime import materialize, table
+from ..runtime import materialize, small_batches, table
 from . import ann, bpe, chunks, language, mixing, near_dups, oracles, pii, quality, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,8 +58,16 @@ def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_one_bit_ann": op1_one_bit_ann,
         "op2_crf_language": op2_crf_language,
         "op3_disclosure_pii": op3_disclosure_pii,
@@ -72,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_speculative_bpe": op10_speculative_bpe,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _tuned(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

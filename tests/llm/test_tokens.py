@@ -76,6 +76,13 @@ def test_digests(documents, odd, no_documents, byte_library):
     assert bpe.digests(no_documents, BYTE).count() == 0
 
 
+def test_decode_of_stored_ids(documents):
+    stored = bpe.encode(documents, BYTE)
+    assert stored.columns == ["doc_id", "ids_le"]
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(stored, BYTE).collect()}
+    assert got == {r["doc_id"]: r["text"] for r in documents.collect()}
+
+
 def check_files(df, library):
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: r[0])
     want, start = [], 0

@@ -74,12 +74,19 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again."""
+#: Rows of a written file where their number is known beforehand, at least.
+FILE_ROWS = 100_000
+
+
+def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again.
+
+    most_rows: a bound on the number of rows; small tables then come in few files.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
     small_batches(spark)
-    df.write.parquet(path)
+    (df if most_rows is None else df.coalesce(1 + most_rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

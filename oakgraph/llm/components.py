@@ -18,9 +18,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b). Returns (node, component), the smallest node reachable, for each node of an edge; loops are left out."""
+    """edges: (a, b), a written table. Returns (node, component), the smallest node reachable, for each node of an edge; loops are left out."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialize(edges, "edges")
     state = _state(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(near.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = materialize(near.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges", 2 * state[0])
         before, state = state, _state(edges)
         if state == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize
+from ..runtime import empty, materialize
 from .common import SLICE_CHARS, text_parts, word_codes, words
 from .components import components
 
@@ -46,7 +46,7 @@ THRESHOLD = 80  # per cent
 PIVOT_ROUNDS = 2
 #: Shingles in a block, about; a longer set is a block of its own.
 BLOCK_SHINGLES = 250_000
-#: Broadcast ids up to so many rows (8 bytes each).
+#: Broadcast ids or keys up to so many rows (8 or 16 bytes each).
 BROADCAST_ROWS = 200_000
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -156,7 +156,7 @@ def verify(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ids (id), a written table."""
+    """(id, text) of the documents in ids (id), made from a written table."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
@@ -164,17 +164,17 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def confirm(close: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The (a, b) of close, a written table, that are linked by their full sets."""
     ids = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    texts = texts_of(materialize(ids, "dup-ids"), docs)
+    texts = texts_of(ids, docs)
     for side in "ab":
         close = close.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
     return verify(close, k)
 
 
-def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The (a, b) of pairs that are linked."""
+def links(pairs: DataFrame, most: int, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The (a, b) of pairs, of which there are ``most``, that are linked."""
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    return confirm(materialize(prune(pairs), "dup-close"), docs, k)
+    return confirm(materialize(prune(pairs), "dup-close", 20 * most), docs, k)
 
 
 def crossing(lone: pa.Table, crowd: pa.Table) -> pa.Table:
@@ -206,14 +206,14 @@ def crossing(lone: pa.Table, crowd: pa.Table) -> pa.Table:
 
 def last_links(placed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Links between different components of a bucket; placed: a written table of (key, band, rep, component)."""
-    sets = texts_of(materialize(placed.select(F.col("rep").alias("id")).distinct(), "dup-ids"), docs)
+    sets = texts_of(placed.select(F.col("rep").alias("id")).distinct(), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_parts(batches, 1, SLICE_CHARS):
             yield pa.record_batch([part.column(0), pa.array([h.tobytes() for h in shingle_hashes(texts, k)], pa.binary())], names=["rep", "hashes"])
 
     sets = materialize(sets.mapInArrow(run, "rep long, hashes binary").dropDuplicates(["rep"]), "dup-sets")
-    weighed = materialize(placed.join(sets.select("rep", (F.octet_length("hashes") / 8).alias("weight")), "rep"), "dup-weighed")
+    weighed = placed.join(sets.select("rep", (F.octet_length("hashes") / 8).alias("weight")), "rep")
     parts = weighed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     blocks = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
     most = F.max(F.struct("n", "component", "w"))
@@ -242,33 +242,38 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
 def linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """classes(), and (node, component) of the representatives that are linked to others."""
     own = classes(docs, k)
-    reps = materialize(own.where("sig is not null").select("rep", "sig").dropDuplicates(["rep"]), "dup-reps")
+    reps = own.where("sig is not null").select("rep", "sig")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     rows = reps.select(F.posexplode(keys).alias("band", "key"), "rep")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(rows.join(shared, "key"), "dup-buckets")
-    parts = members.sparkSession.createDataFrame([], "node long, component long")
+    shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "dup-keys")
+    members = materialize(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key"), "dup-buckets")
+    total = members.count()
+    parts = empty(members.sparkSession, "node long, component long")
     found, done = None, None  # links and pairs so far
     for turn in range(PIVOT_ROUNDS + 1):
         placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         if turn:
             apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            placed = materialize(placed.where("size > 2").join(apart, "key", "left_semi").select("key", "band", "rep", "component"), "dup-apart")
-        if placed.isEmpty():
-            break
+            placed = materialize(placed.where("size > 2").join(apart, "key", "left_semi").select("key", "band", "rep", "component"), "dup-apart", total)
+            if placed.isEmpty():
+                break
         if turn == PIVOT_ROUNDS:
-            new = materialize(last_links(placed, docs, k), "dup-links")
+            new = last_links(placed, docs, k)
         else:
             order = F.xxhash64("rep", "key", F.lit(turn)) if turn else F.col("rep")
             pivots = placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), order).alias("pivot"))
             pairs = placed.join(pivots, "key").where("component <> pivot.component").select(F.col("pivot.rep").alias("p"), F.col("rep").alias("q"))
             pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-            pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "dup-pairs")
+            pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "dup-pairs", total)
+            number = pairs.count()
+            if not number:
+                continue
             done = pairs if done is None else done.unionAll(pairs)
-            new = materialize(links(pairs, reps, docs, k), "dup-links")
+            new = links(pairs, number, reps, docs, k)
+        new = materialize(new, "dup-links")
         found = new if found is None else found.unionAll(new)
         if not new.isEmpty():
-            parts = materialize(components(found), "dup-components")
+            parts = components(found)
     return own, parts
 
 

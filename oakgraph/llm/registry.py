@@ -51,7 +51,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.summary(table(spark, sf_dir, "documents"))
+    """Documents with repeated passages; the others have nothing to report."""
+    return chunks.summary(table(spark, sf_dir, "documents")).where("repeat_bytes > 0")
 
 
 def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,18 +98,19 @@ def cutoffs(rows: DataFrame) -> DataFrame:
     """rows: written keyed() columns. For each source: source_size, target, epochs, and the place up to which the fractional
     part takes documents: all buckets before ``last``, and in that one the places up to ``cut``."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    number_of_sources = sources.count()
     goal = targets(sources.select("source", "source_size"))
     number = F.least(F.lit(1 << 20), F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS))).cast("int")
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     goal = goal.alias("g").join(sources.select("source", number.alias("buckets")).alias("s"), F.expr("g.source <=> s.source")).select("g.*", "s.buckets")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") >= MAX_EPOCHS, F.lit(0.0)).otherwise(F.col("target") - F.col("epochs") * F.col("source_size")))
-    goal = small(materialize(goal, "mix-sources"))
+    goal = small(materialize(goal, "mix-sources", number_of_sources))
     dealt = rows.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source")).select("r.*", bucket_of(F.col("r.key"), F.col("g.buckets")).alias("bucket"), "g.rest")
     totals = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("base", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
     border = totals.where("base <= rest and rest < base + held").groupBy("source").agg(F.max(F.struct("bucket", "base")).alias("b"))
-    border = small(materialize(border.select("source", F.col("b.bucket").alias("last"), F.col("b.base").alias("base")), "mix-borders"))
+    border = small(materialize(border.select("source", F.col("b.bucket").alias("last"), F.col("b.base").alias("base")), "mix-borders", number_of_sources))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     close = dealt.alias("d").join(border.alias("b"), F.expr("d.source <=> b.source and d.bucket = b.last")).select("d.*", "b.base")
     close = close.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).where(2 * F.col("before") + F.col("size") <= 2 * F.col("rest"))
@@ -129,14 +130,15 @@ def copies(row: str, cut: str) -> Column:
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for each document; texts are read once."""
     rows = materialize(docs.select(*keyed(docs, seed)), "mix-keys")
-    cuts = small(materialize(cutoffs(rows), "mix-cutoffs"))
+    cuts = small(materialize(cutoffs(rows), "mix-cutoffs", rows.select("source").distinct().count()))
     taken = copies("r", "c") * F.col("r.size")
     return rows.alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source")).select("r.doc_id", "r.size", "c.source_size", "c.target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; texts are read twice and not shuffled."""
-    cuts = small(materialize(cutoffs(materialize(docs.select(*keyed(docs, seed)), "mix-keys")), "mix-cutoffs"))
+    keys = materialize(docs.select(*keyed(docs, seed)), "mix-keys")
+    cuts = small(materialize(cutoffs(keys), "mix-cutoffs", keys.select("source").distinct().count()))
     k, n = unused("mix_key", docs), unused("mix_copy", docs)
     rows = docs.withColumn(k, F.struct(*keyed(docs, seed))).alias("d").join(cuts.alias("c"), F.expr(f"d.`{k}`.source <=> c.source"))
     each = rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col(n) <= copies(f"d.{k}", "c"))

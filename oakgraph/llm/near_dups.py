@@ -83,7 +83,8 @@ def shingle_hashes(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Minima of BANDS * ROWS linear maps on 32 bits."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    return (_A[:, None] * x + _B[:, None]).min(axis=1)
+    parts = [(_A[:, None] * x[i : i + 16_384] + _B[:, None]).min(axis=1) for i in range(0, len(x), 16_384)]
+    return parts[0] if len(parts) == 1 else np.minimum.reduce(parts)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import empty, materialize
 from .common import unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -151,10 +151,10 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     most = F.col("n_te") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9)
     pairs = pairs.join(of_entity, "entity").join(least, "term").where(F.col("n_near") <= most).drop("n_near")
     pairs = materialize(pairs, "pii-pairs")
-    wanted = materialize(pairs.select("term").distinct(), "pii-terms")
+    wanted = pairs.select("term").distinct()
     number = wanted.count()
     if not number:
-        return docs.sparkSession.createDataFrame([], "term string, share double")
+        return empty(docs.sparkSession, "term string, share double")
     wanted = F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted
     heard = rows.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split(F.lower("text"), NO_TERM, -1))).alias("term"))
     of_term = heard.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
@@ -162,7 +162,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pmi = F.log2(together * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     content = -F.log2(F.col("n_e") / F.lit(float(total)))
     shares = pairs.join(of_term, "term").where(content > 0).select("term", (pmi / content).alias("share")).where(F.col("share") >= DISCLOSE)
-    return materialize(shares.groupBy("term").agg(F.max("share").alias("share")), "pii-shares")
+    return materialize(shares.groupBy("term").agg(F.max("share").alias("share")), "pii-shares", number)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import id_text_slices, row_slices, unused
 
 WINDOW = 16
-MIN_CHUNK, MAX_CHUNK = 32, 256
-BORDER_BITS = 5  # one border in 2**5 bytes on average, after the shortest chunk
+MIN_CHUNK, MAX_CHUNK = 32, 128
+BORDER_BITS = 4  # one border in 2**4 bytes on average, after the shortest chunk
 MIN_RUN = 128
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
 

@@ -253,7 +253,9 @@ def test_shared_passages_are_found_and_clean_texts_left_alone(spark):
     rows += [(200, rows[1][1])]
     got = {r["doc_id"]: r for r in chunks.summary(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     for i in range(0, 80, 4):
-        assert got[i]["repeat_bytes"] > 150 and (i == 0) == (got[i]["dup_bytes"] == 0) and got[i]["first_ids"] == ([] if i == 0 else [0])
+        assert got[i]["repeat_bytes"] > 150 and (i == 0) == (got[i]["dup_bytes"] == 0)
+        # the chunk before the first common border may be shared with a later document than the first
+        assert got[i]["first_ids"][:1] == ([] if i == 0 else [0]) and all(f < i and f % 4 == 0 for f in got[i]["first_ids"])
     assert got[200]["dup_bytes"] == got[200]["n_bytes"] and got[200]["first_ids"] == [1] and got[1]["dup_bytes"] == 0
     assert all(got[i]["repeat_bytes"] == 0 for i in range(2, 80) if i % 4)
 

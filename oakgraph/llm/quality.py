@@ -29,21 +29,26 @@ LONG = 10  # words from which a repeat counts for the suffix-array rule
 MAX_COVERED = 30  # per cent of words that such repeats cover
 MAX_LONGEST = 30  # per cent of words that the longest repeat has
 SYMBOLS = "#*$%&|<>"
+PACKED = (1 << 21) - 1  # symbols below this fit three to a 64-bit key
 
 
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     """For each position: length of the longest substring from there that is found elsewhere too; 0 if under SEED.
 
-    symbols: non-negative integers below 2**21.
+    symbols: non-negative integers.
     """
     n = len(symbols)
     longest = np.zeros(n, np.int64)
     if n <= SEED:
         return longest
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(SEED, np.int64)])
-    key = padded[:n] << 42 | padded[1 : n + 1] << 21 | padded[2 : n + 2]
-    sa = np.argsort(key, kind="stable")
-    fresh = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
+    if symbols.max() < PACKED:
+        keys = [padded[:n] << 42 | padded[1 : n + 1] << 21 | padded[2 : n + 2]]
+        sa = np.argsort(keys[0], kind="stable")
+    else:
+        keys = [padded[j : j + n] for j in range(SEED)]
+        sa = np.lexsort(keys[::-1])
+    fresh = np.concatenate([[True], np.any([k[sa][1:] != k[sa][:-1] for k in keys], axis=0)])
     group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # of each place in sa: where its group starts
     rank = np.empty(n + 1, np.int64)
     rank[sa], rank[n] = group, -1

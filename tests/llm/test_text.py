@@ -11,7 +11,9 @@ from oakgraph.llm import language, pii
 from oakgraph.llm import quality as Q
 
 
-def test_longest_repeats_equal_brute_force():
+@pytest.mark.parametrize("packed", [Q.PACKED, 0])
+def test_longest_repeats_equal_brute_force(monkeypatch, packed):
+    monkeypatch.setattr(Q, "PACKED", packed)
     rng = random.Random(2)
     for _ in range(300):
         s = [rng.randrange(rng.choice([1, 2, 3, 8])) for _ in range(rng.randint(0, 50))]

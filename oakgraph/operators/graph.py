@@ -53,7 +53,7 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max
 
     stop (node): nodes that are not entered, whether seeds or not. max_depth: steps at most.
     """
-    step = edges.select("src", "dst").distinct()
+    step = edges.select("src", "dst")
     fresh = seeds.select("node").distinct()
     if stop is not None:
         stop = stop.select("node").distinct()

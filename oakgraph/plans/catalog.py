@@ -293,7 +293,7 @@ def edges_present(spark, sf):
 @query(f"WITH RECURSIVE {STAR}, walk AS (SELECT 'r0' AS node UNION SELECT dst FROM walk JOIN star ON src = node) SELECT node FROM walk")
 def closure_max(spark, sf):
     """All that region 0 reaches."""
-    return graph.reach(model.star(spark, sf), spark.createDataFrame([("r0",)], "node string")).select("node")
+    return graph.reach(materialize(model.star(spark, sf), "star"), spark.createDataFrame([("r0",)], "node string")).select("node")
 
 
 @query(f"""WITH RECURSIVE {STAR}, low AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 2 = 0),
@@ -308,7 +308,7 @@ def closure_min_max(spark, sf):
 
 @query(f"WITH RECURSIVE {STAR}, walk AS (SELECT 'r2' AS node, 0 AS level UNION SELECT dst, level + 1 FROM walk JOIN star ON src = node WHERE level < 3) SELECT node, min(level)::INTEGER AS level FROM walk GROUP BY node")
 def depth_limited(spark, sf):
-    return graph.reach(model.star(spark, sf), spark.createDataFrame([("r2",)], "node string"), max_depth=3)
+    return graph.reach(materialize(model.star(spark, sf), "star"), spark.createDataFrame([("r2",)], "node string"), max_depth=3)
 
 
 @query(f"WITH {STAR}, lv AS (SELECT dst, kind FROM star) SELECT level::INTEGER AS level, count(*) AS n FROM (SELECT DISTINCT src AS node, 0 AS level FROM star WHERE kind = 'nation' UNION SELECT dst, CASE kind WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'order' THEN 3 ELSE 4 END FROM star) GROUP BY level")

@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Rows of a source that fall into one bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Broadcast bucket totals up to so many rows (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 SEPARATORS = " \t\n\x0b\x0c\r"

@@ -7,11 +7,15 @@ CONTEXT_WORDS words of occurrences of entity e,
     IC(e) = -log2(n_e / N),   PMI(t; e) = log2(n_te * N / (n_t * n_e)),
 
 with n_e the distinct contexts of e, n_te those that hold t, n_t the distinct texts with t anywhere and N all
-distinct texts. The share PMI / IC is what t discloses of e: 1 where t is found with e alone. With SUPPORT distinct
-contexts or more, a term at DISCLOSE is generalised to its class and at REMOVE it is removed, in all documents.
-Copies have one context, so a group of copies does not make terms of its own words.
-
-Contexts are counted with map-side aggregation, and only terms near entities with enough support are counted
+distinct texts. The share PMI / IC is what t discloses of e: 1 where t is found with e alone. A term at DISCLOSE is generalised
+to its class and at REMOVE it is removed, in all documents, if its support is no chance. Entities of any number of
+contexts take part: the first co-occurrence makes a term a candidate, and the m = n_te - 1 others are weighed. If t
+fell in texts at random, at a rate p = (n_t - 1) / (N - 1), m or more of the n = n_e - 1 other contexts would hold it with
+a probability of 2 ** -(n * KL(m / n || p)) at most (Chernoff). Times the terms that the entity's contexts can
+propose this must not exceed CHANCE; SUPPORT contexts are enough in any case. A lone co-occurrence weighs nothing, since
+each word near an entity has one. Copies have one context, so a group of copies does not make terms of its own words.
+
+Contexts are counted with map-side aggregation, and only terms found in two contexts of an entity are counted
 over the corpus; texts are shuffled nowhere but for documents that hold a disclosing term, where these are too many to
 broadcast.
 
@@ -35,6 +39,7 @@ from .common import unused
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_CHARS, CONTEXT_WORDS = 120, 8
 SUPPORT = 3
+CHANCE = 0.05
 DISCLOSE, REMOVE = 0.8, 0.95
 MIN_TERM = 3  # characters
 #: Broadcast terms up to so many rows (about 30 bytes each), and documents with terms (about 100 bytes each).
@@ -126,6 +131,15 @@ def entity(span: str) -> Column:
     return F.concat_ws(":", F.col(f"{span}.kind").cast("string"), value)
 
 
+def supported(n_te: Column, n_t: Column, n_e: Column, total: int) -> Column:
+    """Whether n_te of n_e contexts are more than chance for a term that n_t of all texts hold."""
+    n, p = n_e - 1, F.least((n_t - 1) / F.lit(float(max(total - 1, 1))), F.lit(1.0))
+    q = (n_te - 1) / n
+    rest = F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0)
+    bits = F.when((n_te > 1) & (q > p), n * (q * F.log2(q / p) + rest)).otherwise(0.0)
+    return (n_te >= SUPPORT) | (bits >= F.log2(n_e * F.lit(2 * CONTEXT_WORDS / CHANCE)))
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, share): terms that disclose DISCLOSE or more of a protected entity, with the largest share; a written table."""
     text = F.col("text")
@@ -143,9 +157,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     near = materialize(spotted.select(entity("s").alias("entity"), context.alias("context"), F.xxhash64("text").alias("h")).distinct(), "pii-contexts")
     total = rows.select(F.xxhash64("text").alias("h")).distinct().count()
     contexts = near.select("entity", "context").distinct()
-    of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     terms = contexts.select("entity", F.explode(F.array_distinct("context")).alias("term")).where((F.length("term") >= MIN_TERM) & F.col("term").rlike(r"\p{L}"))
-    pairs = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    pairs = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where("n_te > 1")  # supported() holds for no others
     # A pair reaches DISCLOSE only if n_t is at most n_te * (N / n_e) ** (1 - DISCLOSE); texts near any entity are a part of n_t.
     least = near.select("h", F.explode(F.array_distinct("context")).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     most = F.col("n_te") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9)
@@ -161,7 +175,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     together = F.least("n_te", "n_t")
     pmi = F.log2(together * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     content = -F.log2(F.col("n_e") / F.lit(float(total)))
-    shares = pairs.join(of_term, "term").where(content > 0).select("term", (pmi / content).alias("share")).where(F.col("share") >= DISCLOSE)
+    held = pairs.join(of_term, "term").where((content > 0) & ((F.col("n_te") >= SUPPORT) | supported(together, F.col("n_t"), F.col("n_e"), total)))
+    shares = held.select("term", (pmi / content).alias("share")).where(F.col("share") >= DISCLOSE)
     return materialize(shares.groupBy("term").agg(F.max("share").alias("share")), "pii-shares", number)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -81,3 +82,15 @@ def test_stages_keep_columns_and_stand_odd_rows(spark, odd, sf):
         out.collect()
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_terms_of_rare_entities_are_masked(spark, sf):
+    """Two contexts are enough in a corpus of this size; lone co-occurrences are left alone."""
+    rng = random.Random(8)
+    filler = lambda: " ".join(f"word{rng.randrange(60)}" for _ in range(30))
+    texts = [f"{filler()} Zorblax zed@corp.com {filler()}" for _ in range(2)] + [f"about zorblax, then {filler()}", f"{filler()} Quxom yes@corp.com {filler()}"] + [filler() for _ in range(1400)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["pii"](spark, docs, sf).collect()}
+    assert all(out[i] == texts[i].replace("Zorblax", "[TERM]").replace("zed@corp.com", "[EMAIL]") for i in range(2))
+    assert out[2] == texts[2].replace("zorblax", "[TERM]") and out[3] == texts[3].replace("yes@corp.com", "[EMAIL]")
+    assert all(out[i] == texts[i] for i in range(4, len(texts)))

@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of each text; where its high bits are zero a chunk ends, so borders depend on
 the last WINDOW bytes alone and an insertion moves only the chunks around it. Chunks are matched by a 128-bit
 digest over the whole corpus. A chunk counts as repeated where it lies in a run of chunks, each found more than
-once, of MIN_RUN bytes or more; shorter coincidences are left alone. Of each repeated chunk the occurrence with
+once, of MIN_RUN bytes or more, or, with short_copies, where its whole text is a copy of any length; shorter
+coincidences are left alone. Of each repeated chunk the occurrence with
 the smallest (id, offset) stays and the others go.
 
 Offsets are in bytes of the UTF-8 text, and borders never cut a character. Digests are counted with map-side
@@ -95,8 +96,17 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields]))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, size, run_bytes, first_id, first): the chunks in runs of MIN_RUN bytes; first_id: the id of the chunk's first
+def equal_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows as of repeated_runs() for texts shorter than MIN_RUN that are found more than once, each as one chunk."""
+    short = docs.select(id_col, F.octet_length(text_col).alias("size"), F.sha1(F.encode(text_col, "UTF-8")).alias("digest")).where(F.col("size").between(1, MIN_RUN - 1))
+    again = short.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col)).alias("least")).where("n > 1").select(F.col("digest").alias("again_digest"), "least")
+    found = short.dropDuplicates([id_col, "digest"]).join(again, F.expr("digest = again_digest"))
+    first = F.col(f"least.{id_col}")
+    return found.select(id_col, F.lit(0).alias("start"), "size", F.col("size").cast("long").alias("run_bytes"), first.alias("first_id"), first.eqNullSafe(F.col(id_col)).alias("first"))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
+    """(id, start, size, run_bytes, first_id, first): the chunks in runs of MIN_RUN bytes, and with short_copies shorter texts that are copies; first_id: the id of the chunk's first
     occurrence; first: whether this is it."""
     chunks = chunk_table(docs, id_col, text_col)
     again = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "start")).alias("least")).where("n > 1")
@@ -107,13 +117,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.withColumn("run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.withColumn("run_bytes", F.sum("size").over(Window.partitionBy(id_col, "run"))).where(F.col("run_bytes") >= MIN_RUN)
     is_first = F.col(f"least.{id_col}").eqNullSafe(F.col(id_col)) & (F.col("least.start") == F.col("start"))
-    return found.select(id_col, "start", "size", "run_bytes", F.col(f"least.{id_col}").alias("first_id"), is_first.alias("first"))
+    found = found.select(id_col, "start", "size", "run_bytes", F.col(f"least.{id_col}").alias("first_id"), is_first.alias("first"))
+    return found.unionByName(equal_texts(docs, id_col, text_col)) if short_copies else found
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """Per row of docs: id, n_bytes, repeat_bytes (in runs), dup_bytes (of these, not first occurrences), first_ids (sorted: the
     documents in which the chunks that go were found first), spans (of what goes: start:end in bytes, comma-joined)."""
-    runs = repeated_runs(docs, id_col, text_col)
+    runs = repeated_runs(docs, id_col, text_col, short_copies)
     dup = ~F.col("first")
     gone = F.array_sort(F.collect_list(F.when(dup, F.struct("start", (F.col("start") + F.col("size")).alias("end")))))
     per = runs.groupBy(F.col(id_col).alias("run_id")).agg(
@@ -138,10 +149,10 @@ def merged(spans):
     return F.arrays_zip(F.array_compact(opens).alias("start"), F.array_compact(closes).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """docs with the repeated chunks cut out of text_col, all other columns unchanged."""
     at, cut, docs_columns = docs.columns.index(text_col), unused("cut_spans", docs), docs.columns
-    gone = repeated_runs(docs, id_col, text_col).where(~F.col("first"))
+    gone = repeated_runs(docs, id_col, text_col, short_copies).where(~F.col("first"))
     gone = gone.groupBy(F.col(id_col).alias("gone_id")).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias(cut))
     rows = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left").select(*[docs[c] for c in docs.columns], cut)
 

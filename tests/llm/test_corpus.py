@@ -290,3 +290,11 @@ def test_chunks_of_odd_rows(odd, no_documents, documents):
     assert cleaned.columns == odd.columns and cleaned.count() == odd.count() and cleaned.where("text is null").count() == 1
     gone = {r["doc_id"]: r["n_bytes"] - r["dup_bytes"] for r in chunks.summary(documents).collect()}
     assert {r["doc_id"]: r["n"] for r in chunks.remove_repeats(documents).select("doc_id", F.octet_length("text").alias("n")).collect()} == gone
+
+
+def test_short_copies_are_found(spark):
+    rows = [(3, "a short text"), (1, "a short text"), (2, "another one"), (4, "é"), (5, "é"), (6, ""), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["repeat_bytes"], r["dup_bytes"], r["first_ids"], r["spans"]) for r in chunks.summary(df, short_copies=True).collect()}
+    assert got == {1: (12, 0, [], ""), 3: (12, 12, [1], "0:12"), 4: (2, 0, [], ""), 5: (2, 2, [4], "0:2")} | {i: (0, 0, [], "") for i in (2, 6, 7, 8)}
+    assert {r["doc_id"]: r["text"] for r in chunks.remove_repeats(df, short_copies=True).collect()} == dict(rows) | {3: "", 5: ""}

@@ -69,6 +69,11 @@ def entry_key(perm: Column, name: Column) -> Column:
     return _bytes(F.concat(name, F.when(perm == "40000", F.lit("/")).otherwise(F.lit(""))))
 
 
+def tree_entry(perm: Column, name: Column, node: Column) -> Column:
+    """An entry as a tree's payload has it; node is a hex id."""
+    return F.concat(_bytes(F.concat_ws(" ", perm, name)), F.lit(b"\x00"), F.unhex(node))
+
+
 def tree_payload(perm: Column, name: Column, node: Column) -> Column:
     """Aggregate: the payload of the tree that the rows of a group make; node is a hex id."""
     part = F.concat(F.hex(_bytes(F.concat_ws(" ", perm, name))), F.lit("00"), F.upper(node))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import objects as O
 from ..runtime import materialize
@@ -27,9 +32,38 @@ def remove(entries: DataFrame, gone: DataFrame, group: str = "tree") -> DataFram
 
 
 def tree_ids(entries: DataFrame, group: str = "tree") -> DataFrame:
-    """(group, oid, n_entries, size) of the tree that each group's entries make."""
-    rows = entries.groupBy(group).agg(O.tree_payload(F.col("perm"), F.col("name"), F.col("node")).alias("raw"), F.count(F.lit(1)).alias("n_entries"))
-    return rows.select(group, O.object_id("tree", F.col("raw")).alias("oid"), "n_entries", F.octet_length("raw").cast("long").alias("size"))
+    """(group, oid, n_entries, size) of the tree that each group's entries make.
+
+    The entries of a tree are sorted by Spark, which spills, and hashed as they pass by, so no row or task holds a whole tree.
+    """
+    part = O.tree_entry(F.col("perm"), F.col("name"), F.col("node"))
+    rows = entries.select(F.col(group).alias("tree"), F.coalesce(O.entry_key(F.col("perm"), F.col("name")), F.lit(b"")).alias("k"), part.alias("p"))
+    rows = materialize(rows, "entries")
+    sizes = rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n_entries"), F.coalesce(F.sum(F.octet_length("p")), F.lit(0)).cast("long").alias("size"))
+    heads = sizes.select("tree", F.lit(None).cast("binary").alias("k"), O.header("tree", F.col("size")).alias("p"), "n_entries", "size")
+    rest = rows.where("p is not null").select("tree", "k", "p", F.lit(None).cast("long").alias("n_entries"), F.lit(None).cast("long").alias("size"))
+    dealt = heads.unionAll(rest).repartition("tree").sortWithinPartitions("tree", F.asc_nulls_first("k"), "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # group, number, size, digest
+
+        def row(held) -> pa.RecordBatch:
+            name, number, size, digest = held
+            return pa.record_batch([pa.array([name], kind), pa.array([digest.hexdigest()]), pa.array([number], pa.int64()), pa.array([size], pa.int64())], names=[group, "oid", "n_entries", "size"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for name, k, p, number, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k is None:  # a header, which goes before the entries of its tree
+                    if held:
+                        yield row(held)
+                    held = (name, number, size, hashlib.sha1(p))
+                else:
+                    held[3].update(p)
+        if held:
+            yield row(held)
+
+    return dealt.mapInArrow(run, T.StructType([T.StructField(group, entries.schema[group].dataType), T.StructField("oid", T.StringType()), T.StructField("n_entries", T.LongType()), T.StructField("size", T.LongType())]))
 
 
 def write_trees(files: DataFrame) -> DataFrame:

@@ -80,25 +80,31 @@ def packed_references(spark: SparkSession, path: str) -> DataFrame:
     return own.select(F.regexp_extract("line", r"^\S+ (.*)$", 1).alias("name"), F.substring_index("line", " ", 1).alias("oid"), peeled.alias("peeled_oid"))
 
 
+#: Entries of a tree that are held as Python objects at once.
+ENTRY_ROWS = 10_000
 ENTRY = "tree string, pos int, perm string, name string, node string"
 
 
 def tree_entries(trees: DataFrame, digest_size: int = 20) -> DataFrame:
     """trees (tree, payload): the entries of tree objects, in their order; a payload that ends within an entry raises an error."""
+    schema = pa.schema([("tree", pa.string()), ("pos", pa.int32()), ("perm", pa.string()), ("name", pa.string()), ("node", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, at = [], 0
+                rows, at, pos = [], 0, 0
                 while at < len(payload):
                     space = payload.index(b" ", at)
                     end = payload.index(b"\x00", space)
                     node = payload[end + 1 : end + 1 + digest_size]
                     if len(node) < digest_size:
                         raise ValueError(f"tree {tree} ends within an entry")
-                    rows.append({"tree": tree, "pos": len(rows), "perm": payload[at:space].decode(), "name": payload[space + 1 : end].decode(errors="replace"), "node": node.hex()})
-                    at = end + 1 + digest_size
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("tree", pa.string()), ("pos", pa.int32()), ("perm", pa.string()), ("name", pa.string()), ("node", pa.string())]))
+                    rows.append({"tree": tree, "pos": pos, "perm": payload[at:space].decode(), "name": payload[space + 1 : end].decode(errors="replace"), "node": node.hex()})
+                    at, pos = end + 1 + digest_size, pos + 1
+                    if len(rows) == ENTRY_ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return trees.select("tree", "payload").mapInArrow(run, ENTRY).withColumn("perm", O.permission(F.col("perm")))
 

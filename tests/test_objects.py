@@ -119,3 +119,11 @@ def test_topological_levels_refuse_cycles(spark):
 def test_reference_cycle(spark):
     got = refs.resolve(spark.createDataFrame([("a", None, "b"), ("b", None, "a"), ("c", "1", None), ("d", None, "c")], "name string, oid string, ref string"))
     assert {r["name"]: r["state"] for r in got.collect()} == {"a": "cycle", "b": "cycle", "c": "ok", "d": "ok"}
+
+
+def test_trees_are_hashed_without_a_row_that_holds_them(spark):
+    entries = spark.range(25_000).select(F.concat(F.lit("d"), (F.col("id") % 2).cast("string")).alias("tree"), F.lit("100644").alias("perm"), F.concat(F.lit("doc"), F.col("id").cast("string")).alias("name"), F.sha1(F.col("id").cast("string")).alias("node"))
+    whole = entries.groupBy("tree").agg(O.tree_payload(F.col("perm"), F.col("name"), F.col("node")).alias("payload"), F.count(F.lit(1)).alias("n")).select("tree", O.object_id("tree", F.col("payload")), "n", F.octet_length("payload"))
+    ids = trees.tree_ids(entries)
+    assert sorted(map(tuple, ids.collect())) == sorted(map(tuple, whole.collect()))
+    assert "collect_list" not in ids._jdf.queryExecution().toString()

@@ -16,15 +16,16 @@ def layered(loose: DataFrame, packed: DataFrame) -> DataFrame:
     return both.select("name", oid.alias("oid"), "ref", F.when(F.col("own"), F.lit("loose")).otherwise(F.lit("packed")).alias("layer"))
 
 
-def resolve(refs: DataFrame, max_hops: int = 64) -> DataFrame:
+def resolve(refs: DataFrame) -> DataFrame:
     """(name, oid, hops, state): refs (name, oid, ref) followed to an object; state is ok, missing or cycle.
 
-    Each step doubles the distance followed, so a chain of n references takes log2(n) joins.
+    Each step doubles the distance followed, so a chain of n references takes log2(n) joins; what is open after as many
+    hops as there are references is a cycle.
     """
     held = refs.select("name", F.col("ref").alias("at"), "oid", F.when(F.col("ref").isNull(), 0).otherwise(1).alias("hops"))
     held = materialize(held, "refs")
-    span = 1
-    while span < max_hops:
+    span, most = 1, held.count()
+    while span <= most:
         ahead = held.select(F.col("name").alias("at"), F.col("at").alias("next"), F.col("oid").alias("next_oid"), F.col("hops").alias("more"), F.lit(True).alias("there"))
         moved = held.join(ahead, "at", "left")
         hit = F.col("there").isNotNull()

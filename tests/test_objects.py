@@ -127,3 +127,9 @@ def test_trees_are_hashed_without_a_row_that_holds_them(spark):
     ids = trees.tree_ids(entries)
     assert sorted(map(tuple, ids.collect())) == sorted(map(tuple, whole.collect()))
     assert "collect_list" not in ids._jdf.queryExecution().toString()
+
+
+def test_long_chains_of_references_are_no_cycles(spark):
+    rows = [(f"r{i}", None, f"r{i + 1}") for i in range(100)] + [("r100", "x", None), ("c0", None, "c1"), ("c1", None, "c0"), ("lost", None, "nowhere")]
+    got = {r["name"]: (r["oid"], r["hops"], r["state"]) for r in refs.resolve(spark.createDataFrame(rows, "name string, oid string, ref string")).collect()}
+    assert got == {f"r{i}": ("x", 100 - i, "ok") for i in range(101)} | {"c0": (None, None, "cycle"), "c1": (None, None, "cycle"), "lost": (None, None, "missing")}

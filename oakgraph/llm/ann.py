@@ -77,7 +77,7 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 INDEX = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("code", T.BinaryType()),
-    T.StructField("norm", T.FloatType()), T.StructField("fit", T.FloatType()),
+    T.StructField("norm", T.DoubleType()), T.StructField("fit", T.FloatType()),
 ])
 
 
@@ -90,13 +90,13 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         for batch in batches:
             for dim, at, x in blocks(batch):
                 turn = rotation(dim)
-                off = (x - middle.get(dim, 0.0)).astype(np.float32)
+                off = x - middle.get(dim, 0.0)
                 norm = np.linalg.norm(off, axis=1)
-                turned = (off / np.where(norm > 0, norm, 1)[:, None]) @ turn
+                turned = (off / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32) @ turn
                 fit = np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
                 codes = np.packbits(turned > 0, axis=1)
                 part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), pa.array(fit.astype(np.float32))], names=INDEX.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float64()), pa.array(fit.astype(np.float32))], names=INDEX.names)
 
     return rows.mapInArrow(run, INDEX)
 
@@ -106,9 +106,9 @@ class Tile:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        off = (vectors - centre).astype(np.float32)
+        off = vectors - centre
         self.norm = np.linalg.norm(off, axis=1)
-        self.turned = (off / np.where(self.norm > 0, self.norm, 1)[:, None]) @ rotation(vectors.shape[1])
+        self.turned = (off / np.where(self.norm > 0, self.norm, 1)[:, None]).astype(np.float32) @ rotation(vectors.shape[1])
 
 
 def search_block(tile: Tile, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -127,8 +127,9 @@ def search_block(tile: Tile, ids: np.ndarray, vectors: np.ndarray, codes: np.nda
         own = tile.ids[step, None] == ids
         mid[own], slack[own] = np.inf, 0
         upper = mid + slack
+        upper[~np.isfinite(upper)] = np.inf  # no bound: to rerank
         bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(upper), np.inf)
-        rows, cols = np.nonzero((mid - slack <= bound[:, None]) & ~own)
+        rows, cols = np.nonzero(~(mid - slack > bound[:, None]) & ~own)
         for a in range(0, len(rows), 100_000):
             r, c = rows[a : a + 100_000], cols[a : a + 100_000]
             gap = vectors[c] - tile.vectors[s + r]

@@ -42,6 +42,13 @@ def test_neighbours_of_odd_vectors(spark):
     assert search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_large_vectors(spark):
+    """An outlier that moves the centre, and norms whose squares are no float32."""
+    rows = [(0, [1e30, 0.0]), (1, [1e20, 2e20]), (2, [1e20, 3e20]), (3, [9e20, 2e20]), (100, [1e20, 2.5e20])]
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    assert [i for q, _, i in got if q == 100] == [1, 2, 3, 0] and len(got) == 8
+
+
 def test_bounds_hold(spark):
     """The estimate's error bound fails for few pairs only."""
     import numpy as np

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +78,28 @@ def unused(name: str, *frames) -> str:
     return name
 
 
+#: Broadcast a table of keys up to so many rows (about 100 bytes each).
+BROADCAST_ROWS = 200_000
+#: Rows of a key that one task may get in any case.
+KEY_ROWS = 1_000
+
+
+def attach(rows: DataFrame, again: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with again, a written table of (keys, n, more): a row for each key, which n rows or so hold. n is left out.
+
+    No task gets all rows of a hot key: few keys are broadcast; of many, those that hold more than KEY_ROWS rows and more than
+    one in BROADCAST_ROWS of all are, of which there are fewer than BROADCAST_ROWS, and only the others are shuffled.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    found = again.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    if found["keys"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(again.drop("n")), keys, how)
+    most = max(KEY_ROWS, found["rows"] // BROADCAST_ROWS)
+    hot, rest = again.where(F.col("n") > most).drop("n"), again.where(F.col("n") <= most).drop("n")
+    cool = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cool.join(rest, keys, how))
+
+
 class Recent:
     """What was computed for recent strings: two generations, of which the older is dropped when the younger is full."""
 

@@ -8,8 +8,9 @@ ids, so that readers prune files, stripes and row groups by metadata, and stripe
 Each row keeps its start within its file; a manifest with a row for each file gives what the files before
 it hold, so that global positions need neither a sort nor a window over all rows on reading.
 
-Defined cases: a null text is empty and holds the end id alone; rows with a null id come first; repeated
-ids each keep their own row; an empty table gives an empty result; other columns are left out.
+Defined cases: a null text is empty and holds the end id alone; rows with a null id come first; rows that share an id each keep
+their own row, in the order of their texts; a very long text is encoded whole, as a slice of its own; an empty table gives an
+empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -135,7 +136,8 @@ def write(df: DataFrame, path: str, vocab_path: str, end_id: int = 1, id_col: st
             at += int(ends[-1])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("file_no", T.IntegerType()), T.StructField("file_start", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    ordered = df.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
+    order = [F.col(c).asc_nulls_first() for c in (id_col, text_col)]
+    ordered = df.select(id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
     ordered.mapInArrow(run, schema).write.options(**ORC, **{"orc.bloom.filter.columns": id_col}, **(options or {})).orc(path)
 
 

@@ -1,17 +1,20 @@
 """Substring dedup with content-defined chunks.
 
-A gear hash rolls over the bytes of each text; where its high bits are zero a chunk ends, so borders depend on
-the last WINDOW bytes alone and an insertion moves only the chunks around it. Chunks are matched by a 128-bit
+A gear hash of the last WINDOW bytes rolls over each text, and a chunk ends where the hash is the least within REACH bytes on
+either side. So borders depend on the bytes around them alone: an insertion moves only the chunks near it, and two texts with
+a passage in common fall into step at its first border. Chunks are matched by a 128-bit
 digest over the whole corpus. A chunk counts as repeated where it lies in a run of chunks, each found more than
-once, of MIN_RUN bytes or more, or, with short_copies, where its whole text is a copy of any length; shorter
-coincidences are left alone. Of each repeated chunk the occurrence with
+once, of MIN_RUN bytes or more, or, with short_copies, where its whole text is a copy of any length (texts below MIN_RUN are one
+chunk); shorter coincidences are left alone. Of each repeated chunk the occurrence with
 the smallest (id, offset) stays and the others go.
 
-Offsets are in bytes of the UTF-8 text, and borders never cut a character. Digests are counted with map-side
-aggregation and only repeated ones are joined back, so a passage in a third of all documents is spread by
-Spark's skew join, and no task holds all occurrences of a chunk.
+Offsets are in bytes of the UTF-8 text, and borders never cut a character. The chunks are written once. Digests are counted with
+map-side aggregation and only repeated ones are joined back; those found very often are broadcast, so a passage in a third of all
+documents stays where it is, and no task holds all occurrences of a chunk.
 
-Defined cases: a null or empty text has no chunks and zeros; repeated rows are copies of each other; rows that
+Defined cases: a null or empty text has no chunks and zeros; in a text that repeats itself at less than REACH bytes a chunk ends at
+the first of the equal minima after MIN_CHUNK bytes, so that chunks hold whole periods; a very long text is a slice of its own;
+repeated rows are copies of each other; rows that
 share an id are taken as one document, whose chunks at the same offset and digest count once; a null id sorts
 first; an empty table gives an empty result; other columns are left out, or kept unchanged by remove_repeats().
 """
@@ -27,22 +30,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text_slices, row_slices, unused
+from ..runtime import materialize
+from .common import attach, id_text_slices, row_slices, unused
 
 WINDOW = 16
-MIN_CHUNK, MAX_CHUNK = 32, 128
-BORDER_BITS = 4  # one border in 2**4 bytes on average, after the shortest chunk
+REACH = 24
+MIN_CHUNK, MAX_CHUNK = 24, 128
 MIN_RUN = 128
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
+NONE = np.uint16(0xFFFF)
 
 
-def candidates(data: np.ndarray) -> np.ndarray:
-    """Offsets after which the rolling hash asks for a border."""
-    hashed = np.zeros(len(data), np.uint16)
-    gears = GEAR[data]
+def least_within(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    n, size = len(x) - width + 1, 1
+    while 2 * size <= width:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[:n], x[width - size :][:n])
+
+
+def candidates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in all texts, set apart by REACH zero bytes, after which a border is asked for; and where the texts begin."""
+    gap = bytes(REACH)
+    starts = np.cumsum([REACH, *(len(t) + REACH for t in texts)])[:-1]
+    data = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
+    hashed, gears = np.zeros(len(data), np.uint16), GEAR[data]
     for j in range(min(WINDOW, len(data))):
         hashed[j:] += gears[: len(data) - j] << np.uint16(j)
-    return np.flatnonzero(hashed >> np.uint16(16 - BORDER_BITS) == 0) + 1
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[starts + [len(t) for t in texts]] -= 1
+    hashed[np.cumsum(inside[:-1]) == 0] = NONE
+    own = hashed[REACH : len(data) - REACH]
+    return np.flatnonzero((own == least_within(hashed, 2 * REACH + 1)) & (own < NONE)) + REACH + 1, starts
 
 
 def borders(wanted: list[int], size: int, data: bytes) -> list[int]:
@@ -66,59 +86,54 @@ def borders(wanted: list[int], size: int, data: bytes) -> list[int]:
 
 
 def split(texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
-    """Each text's bytes and the ends of its chunks."""
+    """Each text's bytes and the ends of its chunks; a text below MIN_RUN bytes is one chunk."""
     encoded = [t.encode() for t in texts]
-    ends = np.cumsum([0, *map(len, encoded)])
-    cuts = candidates(np.frombuffer(b"".join(encoded), np.uint8))
-    first = np.searchsorted(cuts, ends[:-1] + MIN_CHUNK).tolist()  # nothing before can end a chunk
-    last = np.searchsorted(cuts, ends[1:], "right").tolist()
-    for raw, base, a, b in zip(encoded, ends[:-1].tolist(), first, last, strict=True):
-        yield raw, borders((cuts[a:b] - base).tolist(), len(raw), raw)
+    cuts, starts = candidates(encoded)
+    sizes = np.array([len(t) for t in encoded], np.int64)
+    first, last = np.searchsorted(cuts, starts, "right").tolist(), np.searchsorted(cuts, starts + sizes, "right").tolist()
+    for raw, base, a, b in zip(encoded, starts.tolist(), first, last, strict=True):
+        yield raw, borders((cuts[a:b] - base).tolist(), len(raw), raw) if len(raw) >= MIN_RUN else [len(raw)] * (len(raw) > 0)
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start int, size int, digest binary), a row for each chunk of each whole text."""
+    """(id, start int, size int, whole boolean, high long, low long), a row for each chunk of each whole text: the halves of its digest,
+    and whether it is all of a text below MIN_RUN bytes. A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in id_text_slices(batches):
-            owner, starts, sizes, digests = [], [], [], []
-            for i, (raw, ends) in enumerate(split(texts)):
-                start = 0
-                for end in ends:
-                    digests.append(xxhash.xxh3_128_digest(raw[start:end]))
-                    starts.append(start)
-                    sizes.append(end - start)
-                    start = end
-                owner += [i] * len(ends)
-            yield pa.record_batch([ids.take(pa.array(owner, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=[id_col, "start", "size", "digest"])
-
-    fields = [T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("digest", T.BinaryType())]
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields]))
-
-
-def equal_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as of repeated_runs() for texts shorter than MIN_RUN that are found more than once, each as one chunk."""
-    short = docs.select(id_col, F.octet_length(text_col).alias("size"), F.sha1(F.encode(text_col, "UTF-8")).alias("digest")).where(F.col("size").between(1, MIN_RUN - 1))
-    again = short.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col)).alias("least")).where("n > 1").select(F.col("digest").alias("again_digest"), "least")
-    found = short.dropDuplicates([id_col, "digest"]).join(again, F.expr("digest = again_digest"))
-    first = F.col(f"least.{id_col}")
-    return found.select(id_col, F.lit(0).alias("start"), "size", F.col("size").cast("long").alias("run_bytes"), first.alias("first_id"), first.eqNullSafe(F.col(id_col)).alias("first"))
+            digests, counts, ends, whole = [], [], [], []
+            for raw, own in split(texts):
+                digests += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip([0, *own], own, strict=False)]
+                counts.append(len(own))
+                ends.append(np.array([0, *own[:-1]] if own else [], np.int32))
+                ends.append(np.array(own, np.int32))
+                whole.append(0 < len(raw) < MIN_RUN)
+            starts, ends = np.concatenate(ends[0::2]), np.concatenate(ends[1::2])
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            yield pa.record_batch([ids.take(pa.array(owner)), pa.array(starts), pa.array(ends - starts), pa.array(np.array(whole)[owner]), pa.array(halves[0::2]), pa.array(halves[1::2])], names=[id_col, *names])
+
+    kinds = {"start": T.IntegerType(), "size": T.IntegerType(), "whole": T.BooleanType(), "high": T.LongType(), "low": T.LongType()}
+    names = list(kinds)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in kinds.items())])
+    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "chunks")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """(id, start, size, run_bytes, first_id, first): the chunks in runs of MIN_RUN bytes, and with short_copies shorter texts that are copies; first_id: the id of the chunk's first
     occurrence; first: whether this is it."""
+    key = ["high", "low"]
     chunks = chunk_table(docs, id_col, text_col)
-    again = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "start")).alias("least")).where("n > 1")
-    found = chunks.alias("c").join(again.select(F.col("digest").alias("again_digest"), "least"), F.expr("c.digest = again_digest"))
-    found = found.groupBy(F.col(f"c.{id_col}").alias(id_col), "start", "digest").agg(F.max("size").alias("size"), F.first("least").alias("least"))
-    order = Window.partitionBy(id_col).orderBy("start", "digest")
+    again = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "start")).alias("least")).where("n > 1")
+    found = attach(chunks, materialize(again, "chunks-again"), key)
+    found = found.groupBy(id_col, "start", *key).agg(F.max("size").alias("size"), F.first("least").alias("least"), F.first("whole").alias("whole"))
+    order = Window.partitionBy(id_col).orderBy("start", *key)
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order), F.lit(-1)) != F.col("start")
     found = found.withColumn("run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = found.withColumn("run_bytes", F.sum("size").over(Window.partitionBy(id_col, "run"))).where(F.col("run_bytes") >= MIN_RUN)
+    enough = F.col("run_bytes") >= MIN_RUN
+    found = found.withColumn("run_bytes", F.sum("size").over(Window.partitionBy(id_col, "run"))).where(enough | F.col("whole") if short_copies else enough)
     is_first = F.col(f"least.{id_col}").eqNullSafe(F.col(id_col)) & (F.col("least.start") == F.col("start"))
-    found = found.select(id_col, "start", "size", "run_bytes", F.col(f"least.{id_col}").alias("first_id"), is_first.alias("first"))
-    return found.unionByName(equal_texts(docs, id_col, text_col)) if short_copies else found
+    return found.select(id_col, "start", "size", "run_bytes", F.col(f"least.{id_col}").alias("first_id"), is_first.alias("first"))
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
@@ -131,7 +146,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
         F.sum("size").alias("repeat_bytes"),
         F.sum(F.when(dup, F.col("size")).otherwise(0)).alias("dup_bytes"),
         F.array_sort(F.collect_set(F.when(dup, F.col("first_id")))).alias("first_ids"),
-        merged(gone).alias("gone"),
+        F.get(F.transform(F.array(gone), merged), F.lit(0)).alias("gone"),
     )
     spans = F.array_join(F.transform("gone", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     rows = docs.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
@@ -143,7 +158,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
 
 
 def merged(spans):
-    """Sorted spans, with those that touch united; each span is looked at once from its neighbours."""
+    """Sorted spans, a variable of a lambda (a column would be sorted again for each span), with those that touch united."""
     opens = F.transform(spans, lambda s, i: F.when((i == 0) | (F.get(spans, i - 1)["end"] != s["start"]), s["start"]))
     closes = F.transform(spans, lambda s, i: F.when(F.get(spans, i + 1).isNull() | (F.get(spans, i + 1)["start"] != s["end"]), s["end"]))
     return F.arrays_zip(F.array_compact(opens).alias("start"), F.array_compact(closes).alias("end"))

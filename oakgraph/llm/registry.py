@@ -51,8 +51,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with repeated passages; the others have nothing to report."""
-    return chunks.summary(table(spark, sf_dir, "documents"), short_copies=True).where("repeat_bytes > 0")
+    return chunks.summary(table(spark, sf_dir, "documents"), short_copies=True)
 
 
 def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

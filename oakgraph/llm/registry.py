@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from ..runtime import materialize, small_batches, table
+from ..runtime import small_batches, table
 from . import ann, bpe, chunks, language, mixing, near_dups, oracles, pii, quality, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,8 +18,8 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = materialize(ann.build_index(table(spark, sf_dir, "embeddings")), "ann-index")
-    return ann.search(index, index.where(F.col("id") % 100 == 0), 10)
+    index = ann.build_index(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, index.rows.where(F.col("id") % 100 == 0), 10)
 
 
 def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Language ID of words in code-switched text with a linear-chain conditional random field.
 
 Labels are languages, one for each word. Emissions come from affixes and character n-grams of 1 to NGRAM letters
-(hashed to 2**BITS weights) and from a lexicon: how often each of the LEXICON most frequent words occurs in each
-language, counted over all training documents. Transitions are learned from sequences put together from stretches of
-documents in different languages, as code-switched text is. Weights maximise the likelihood of labels (Adam, on a
-bounded sample of SAMPLE documents a language, with SEGMENTS stretches of STRETCH words from all over each text).
+(hashed to 2**BITS weights, fewer for very many languages) and from a lexicon: how often words occur in each
+language, counted over all training documents; it has every word that makes up MIN_SHARE of a language's words, so that each
+language has 1 / MIN_SHARE words at most and none crowds out another. Transitions are learned from sequences put together from
+stretches of STRETCH words of documents in different languages, as code-switched text is. Weights maximise the likelihood of labels
+(Adam). They are fitted on a bounded sample of SAMPLE documents a language, all words of which are learned from, each once in an epoch.
 Forward-backward then gives each word of every whole text its distribution over languages; a document's language is
 the one with the largest mean, which is its score.
 
 Texts of a slice are worked on together, position by position, longest first; no rows are shuffled to predict.
 
-Defined cases: a null text or one without letters gives `und` with score 0; documents with a null language are
-predicted but not learned from; without any training document all are `und`; more than MOST_LANGUAGES languages are refused; ties go to the language that comes
-first by code point; repeated rows each give a row; a null id counts as the empty string in the split; other columns are left
-out.
+Defined cases: a null text or one without letters gives `und` with score 0; documents with a null language or a null id are
+predicted but not learned from; of rows that share id and language, one text (the least) stands for all in the sample; without any
+training document all are `und`; more than MOST_LANGUAGES languages are refused; ties go to the language that comes first by code
+point; a very long text is labelled whole, as a slice of its own; repeated rows each give a row; a null id counts as the empty string
+in the split; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,16 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import materialize
 from .common import text_parts, word_codes, words
 
 NGRAM = 4
-BITS = 18
-LEXICON = 50_000
-SAMPLE = 300  # documents a language
+BITS, MODEL_BYTES = 18, 64 << 20  # weights, and what they may take
+MIN_SHARE = 1 / 50_000  # of a language's words, for a word of the lexicon
+SAMPLE = 200  # documents a language
 MOST_LANGUAGES = 500
-SEGMENTS, STRETCH = 4, 12
-LENGTH = 48  # words of a training sequence
-EPOCHS, RATE, DECAY = 40, 0.05, 1e-4
+STRETCH, STRETCHES = 12, 4  # words from one document, and such parts of a training sequence
+EPOCHS, RATE, DECAY = 30, 0.05, 1e-4
 SLICE_CHARS = 2_000_000
 FOLDS = 5
 
@@ -102,7 +104,7 @@ def features(names: list[str]) -> Features:
 
 class Model(NamedTuple):
     langs: list[str]
-    weights: np.ndarray  # (2**BITS, languages)
+    weights: np.ndarray  # (2**bits, languages)
     lexicon: np.ndarray  # sorted hashes of words
     odds: np.ndarray  # (words, languages)
     trust: float  # in the lexicon
@@ -126,9 +128,9 @@ def lexicon_scores(f: Features, n: int, lexicon: np.ndarray, odds: np.ndarray) -
 
 
 def emissions(f: Features, n: int, model: Model) -> np.ndarray:
-    out = model.trust * lexicon_scores(f, n, model.lexicon, model.odds)
+    out, grams = model.trust * lexicon_scores(f, n, model.lexicon, model.odds), f.grams & (len(model.weights) - 1)
     for k in range(len(model.langs)):
-        out[:, k] += np.bincount(f.gram_of, weights=model.weights[f.grams, k], minlength=n)
+        out[:, k] += np.bincount(f.gram_of, weights=model.weights[grams, k], minlength=n)
     return out
 
 
@@ -179,28 +181,24 @@ def train(sample: list[tuple[str, str]], lexicon: np.ndarray, odds: np.ndarray,
     stretches = []
     for lang, text in sample:
         w = [x for x in words(text) if any(map(str.isalpha, x))]
-        for k in range(SEGMENTS):
-            begin = k * len(w) // SEGMENTS
-            if part := w[begin : begin + STRETCH]:
-                stretches.append((number[lang], part))
-    flat, gold, sizes = [], [], []
-    while sum(sizes) < sum(len(p) for _, p in stretches) and stretches:
-        size = 0
-        while size < LENGTH:
-            lang, part = stretches[rng.integers(len(stretches))]
-            flat += part
-            gold += [lang] * len(part)
-            size += len(part)
-        sizes.append(size)
+        stretches += [(number[lang], w[i : i + STRETCH]) for i in range(0, len(w), STRETCH)]
+    order = rng.permutation(len(stretches)).tolist()
+    flat = [x for i in order for x in stretches[i][1]]
+    gold = [stretches[i][0] for i in order for _ in stretches[i][1]]
+    sizes = [sum(len(stretches[i][1]) for i in order[at : at + STRETCHES]) for at in range(0, len(order), STRETCHES)]
+    bits = min(BITS, int(np.log2(MODEL_BYTES / (4 * len(langs)))))
     names = sorted(set(flat))
     index = {x: i for i, x in enumerate(names)}
-    at, y, sizes = np.array([index[x] for x in flat]), np.eye(len(langs))[gold], np.array(sizes)
+    at, y, sizes = np.array([index[x] for x in flat], np.int64), np.eye(len(langs))[gold], np.array(sizes, np.int64)
     f = features(names)
+    grams = f.grams & ((1 << bits) - 1)
     lex = lexicon_scores(f, len(names), lexicon, odds)
+    if not len(at):
+        return Model(langs, np.zeros((1 << bits, len(langs)), np.float32), lexicon, odds, 1.0, np.zeros((len(langs),) * 2), np.zeros(len(langs)))
     firsts = np.cumsum(sizes) - sizes
     inner = np.setdiff1d(np.arange(len(at)), firsts)
     seen = y[inner - 1].T @ y[inner]
-    x = {"w": np.zeros((1 << BITS, len(langs))), "trust": np.array([1.0]), "moves": np.zeros((len(langs),) * 2), "start": np.zeros(len(langs))}
+    x = {"w": np.zeros((1 << bits, len(langs))), "trust": np.array([1.0]), "moves": np.zeros((len(langs),) * 2), "start": np.zeros(len(langs))}
     m = {k: np.zeros_like(v) for k, v in x.items()}
     v = {k: np.zeros_like(z) for k, z in x.items()}
     for epoch in range(1, EPOCHS + 1):
@@ -210,7 +208,7 @@ def train(sample: list[tuple[str, str]], lexicon: np.ndarray, odds: np.ndarray,
         wrong = y - gamma
         by_name = np.stack([np.bincount(at, weights=wrong[:, k], minlength=len(names)) for k in range(len(langs))], 1)
         g = {
-            "w": np.stack([np.bincount(f.grams, weights=by_name[f.gram_of, k], minlength=1 << BITS) for k in range(len(langs))], 1) / len(at) - DECAY * x["w"],
+            "w": np.stack([np.bincount(grams, weights=by_name[f.gram_of, k], minlength=1 << bits) for k in range(len(langs))], 1) / len(at) - DECAY * x["w"],
             "trust": np.array([(by_name * lex).sum() / len(at)]),
             "moves": (seen - pairs) / len(at),
             "start": wrong[firsts].sum(axis=0) / len(at),
@@ -226,32 +224,49 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """(lang, doc_id, text) of SAMPLE documents of each language: those with the smallest hashes of their ids.
+
+    Ids are ranked among a few times as many as are wanted, which the counts of the languages let through; texts are read for the chosen.
+    """
+    ids = rows.where("doc_id is not null").select("doc_id", "lang")
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("held")).limit(MOST_LANGUAGES + 1)
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    likely = ids.join(F.broadcast(counts), "lang").where(spread * F.col("held") <= 4 * SAMPLE)
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(spread, "doc_id"))
+    chosen = likely.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
+    return rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
+def lexicon_table(rows: DataFrame) -> DataFrame:
+    """(word, by): of each word that makes up MIN_SHARE of the words of a language, how often each language has it."""
+    heard = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    counts = materialize(heard.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")), "language-words")
+    least = counts.groupBy("lang").agg((F.sum("n") * F.lit(MIN_SHARE)).alias("least"))
+    known = counts.join(F.broadcast(least), "lang").where("n >= least").select("word").distinct()
+    return counts.join(known, "word", "left_semi").groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+
+
 def fit(docs: DataFrame) -> Model | None:
-    """Learn from the rows of docs (doc_id, text, lang) whose text and lang are not null; None if there are none.
+    """Learn from the rows of docs (doc_id, text, lang) whose text, lang and doc_id are not null; None if there are none.
 
-    The driver gets SAMPLE texts a language, and the LEXICON most frequent words with their counts.
+    The driver gets SAMPLE texts a language, and 1 / MIN_SHARE words a language at most, with their counts. What tasks get is the
+    lexicon (8 bytes and 8 for each language a word) and MODEL_BYTES of weights at most.
     """
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    ranked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct().toPandas()
-    langs = sorted(chosen["lang"].unique())
+    texts = sampled(rows).toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    langs = sorted(texts["lang"].unique())
     if not langs:
         return None
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages are more than the {MOST_LANGUAGES} that one model is made for")
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")
-    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text", "doc_id").toPandas()
-    texts = texts.sort_values(["doc_id", "lang", "text"], kind="stable")
-    heard = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counts = heard.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("total"), "word").limit(LEXICON)
-    table = np.zeros((LEXICON, len(langs)))
-    names, number = [], {x: i for i, x in enumerate(langs)}
-    for i, r in enumerate(top.select("word", "by").toLocalIterator()):
+    names, number, counts = [], {x: i for i, x in enumerate(langs)}, []
+    for r in lexicon_table(rows.where("doc_id is not null")).orderBy("word").toLocalIterator():
         names.append(r["word"])
+        counts.append(np.zeros(len(langs)))
         for b in r["by"]:
-            table[i, number[b["lang"]]] = b["n"]
-    table = table[: len(names)]
+            counts[-1][number[b["lang"]]] = b["n"]
+    table = np.array(counts).reshape(len(names), len(langs))
     f = features(names)
     whole = np.bincount(f.run_of, minlength=len(names)) == 1
     hashes = np.zeros(len(names), np.uint64)

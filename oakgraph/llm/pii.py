@@ -21,7 +21,8 @@ broadcast.
 
 Spans are in code points, from 0, end exclusive.
 
-Defined cases: a null text is empty and has no spans, and stays null in sanitise(); documents with equal ids are
+Defined cases: a null text is empty and has no spans, and stays null in sanitise(); a text of any length is taken whole, in time
+that grows with its length and the number of its spans; documents with equal ids are
 taken apart by a hash of their text, equal rows each give a row; ties of spans go by start, then kind as listed; an
 empty table gives an empty result; other columns are left out, or kept unchanged by sanitise().
 """
@@ -42,6 +43,7 @@ SUPPORT = 3
 CHANCE = 0.05
 DISCLOSE, REMOVE = 0.8, 0.95
 MIN_TERM = 3  # characters
+LAST = 2**31 - 1  # after every offset
 #: Broadcast terms up to so many rows (about 30 bytes each), and documents with terms (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -98,21 +100,56 @@ def may_hold(kind: str, text: Column) -> Column:
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Elements that one aggregate collects: as it copies what it has with each of them, it only ever holds a block.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array as an array of arrays of BLOCK elements."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(values, at, F.lit(BLOCK)))
+
+
+def before_each(values: Column, join: Callable[[Column, Column], Column], first: Column) -> Column:
+    """For each element of array<int> what join makes of first and all elements before it; in time linear in their number (but for the
+    square of that of the blocks)."""
+
+    def within(block: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda held, x: F.struct(join(held["at"], x).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out"))
+        return F.aggregate(block, start, step, lambda held: held["out"])
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, first, lambda x, y: join(x, y)))
+        return F.flatten(F.zip_with(blocks, within(totals, first), within))
+
+    return let(in_blocks(values), over)
 
 
 def place(text: Column, pattern: str | Column, kind: int) -> Column:
     """All matches as SPANS, from the pieces between them and their lengths."""
-    found = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
-    pieces = F.split(text, F.lit(pattern) if isinstance(pattern, str) else pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def spans(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda p: F.length(p["piece"]) + F.length(p["match"]))
+        ends = before_each(steps, lambda x, y: x + y, F.lit(0))
+
+        def span(p: Column, at: Column) -> Column:
+            begin = at + F.length(p["piece"])
+            return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + F.length(p["match"])).alias("end"), p["match"].alias("value"))
+
+        return F.zip_with(pairs, ends, span)
 
-    def step(held: Column, pair: Column) -> Column:
-        begin = held["at"] + F.length(pair["piece"])
-        end = begin + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(held["out"], F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("value")))).alias("out"))
+    def pairs(found: Column) -> Column:
+        pieces = F.slice(F.split(text, regex, -1), F.lit(1), F.size(found))
+        return F.when(F.size(found) > 0, let(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), spans)).otherwise(F.array().cast(SPANS))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(pairs, start, step, lambda held: held["out"])
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), pairs)
 
 
 def base_spans(text: Column) -> Column:
@@ -144,9 +181,15 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, share): terms that disclose DISCLOSE or more of a protected entity, with the largest share; a written table."""
     text = F.col("text")
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    spotted = rows.withColumn("spans", base_spans(text)).where("size(spans) > 0").select("text", F.explode("spans").alias("s"))
-    left = F.substring(text, F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT_CHARS)))
-    right = F.substring(text, F.col("s.end") + 1, F.lit(CONTEXT_CHARS))
+    # Of a text with very many spans each block has its own section, since a substring is sought from the start.
+    found = rows.select("text", F.xxhash64("text").alias("h"), base_spans(text).alias("spans")).where("size(spans) > 0").select("text", "h", F.explode(in_blocks(F.col("spans"))).alias("block"))
+    low = F.greatest(F.get("block", F.lit(0))["start"] - CONTEXT_CHARS, F.lit(0))
+    high = F.array_max(F.transform("block", lambda s: s["end"])) + CONTEXT_CHARS
+    sections = found.select("h", "block", low.alias("low"), F.substring(text, low + 1, high - low).alias("section"))
+    spotted = sections.select("h", "low", "section", F.explode("block").alias("s"))
+    section, at = F.col("section"), F.col("s.start") - F.col("low")
+    left = F.substring(section, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
+    right = F.substring(section, F.col("s.end") - F.col("low") + 1, F.lit(CONTEXT_CHARS))
     before = F.split(F.lower(left), NO_TERM, -1)
     before = F.when(F.col("s.start") > CONTEXT_CHARS, F.slice(before, F.lit(2), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(before)  # the first may be cut
     after = F.split(F.lower(right), NO_TERM, -1)
@@ -154,7 +197,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     filled = lambda a: F.filter(a, lambda w: w != "")
     before = F.reverse(F.slice(F.reverse(filled(before)), 1, CONTEXT_WORDS))
     context = F.concat(before, F.slice(filled(after), 1, CONTEXT_WORDS))
-    near = materialize(spotted.select(entity("s").alias("entity"), context.alias("context"), F.xxhash64("text").alias("h")).distinct(), "pii-contexts")
+    near = materialize(spotted.select(entity("s").alias("entity"), context.alias("context"), "h").distinct(), "pii-contexts")
     total = rows.select(F.xxhash64("text").alias("h")).distinct().count()
     contexts = near.select("entity", "context").distinct()
     of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
@@ -180,16 +223,30 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return materialize(shares.groupBy("term").agg(F.max("share").alias("share")), "pii-shares", number)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the column ``pii_spans``: base and term spans as array<struct<start, kind, end, value, share>>; share is null for base
-    entities. A base entity hides the terms in it."""
+def visible(spans: Column) -> Column:
+    """Sorted spans without the terms that overlap a base span, by the furthest end of base spans before and the nearest start of
+    those after."""
+    ends = F.transform(spans, lambda s: F.when(s["kind"] < 4, s["end"]).otherwise(0))
+    starts = F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 4, s["start"]).otherwise(LAST))
+    before = before_each(ends, F.greatest, F.lit(0))
+    after = F.reverse(before_each(starts, F.least, F.lit(LAST)))
+    around = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+    clear = F.zip_with(spans, around, lambda s, x: F.when((s["kind"] < 4) | (x["b"] <= s["start"]) & (s["end"] <= x["a"]), s))
+    return F.array_compact(clear)
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
+    """docs with the column ``into``: base and term spans as array<struct<start, kind, end, value, share>>; share is null for base
+    entities. A base entity hides the terms that overlap it."""
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {into} already")
     shares = disclosing_terms(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], F.lit(None).cast("double").alias("share")))
-    spotted = docs.withColumn("pii_spans", base)
+    spotted = docs.withColumn(into, base)
     if shares.isEmpty():
         return spotted
-    h, found = unused("pii_hash", docs), unused("pii_found", docs)
+    h, found = unused("pii_hash", spotted), unused("pii_found", spotted)
     few = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
     words = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias(h), F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), NO_TERM, -1))).alias("term"))
     held = materialize(words.join(few, "term").groupBy(h).agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias(found)), "pii-held")
@@ -197,11 +254,9 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = spotted.withColumn(h, F.xxhash64(text_col)).join(held, h, "left")
     quoted = F.array_join(F.array_sort(F.map_keys(found)), "|")  # letters and digits only
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
-    hidden = lambda s: F.exists("pii_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    terms = F.filter(place(text, pattern, 4), lambda s: ~hidden(s))
-    terms = F.transform(terms, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], F.element_at(F.col(found), F.lower(s["value"])).alias("share")))
-    both = F.when(F.col(found).isNotNull(), F.array_sort(F.concat("pii_spans", terms))).otherwise(F.col("pii_spans"))
-    return rows.withColumn("pii_spans", both).select(*docs.columns, "pii_spans")
+    terms = F.transform(place(text, pattern, 4), lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], F.element_at(F.col(found), F.lower(s["value"])).alias("share")))
+    both = F.when(F.col(found).isNotNull(), let(F.array_sort(F.concat(into, terms)), visible)).otherwise(F.col(into))
+    return rows.withColumn(into, both).select(*docs.columns, into)
 
 
 def joined(spans: Column) -> Column:
@@ -211,23 +266,34 @@ def joined(spans: Column) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, the number of base entities of each kind, the SHA-256 of their spans, and all spans."""
-    rows = with_spans(docs.select(id_col, text_col), text_col)
-    counts = [F.size(F.filter("pii_spans", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    base = F.filter("pii_spans", lambda s: s["kind"] < 4)
-    return rows.select(id_col, *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    docs = docs.select(id_col, text_col)
+    spans = unused("pii_spans", docs)
+    rows = with_spans(docs, text_col, spans)
+    counts = [F.size(F.filter(spans, of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+    base = F.filter(spans, lambda s: s["kind"] < 4)
+    return rows.select(id_col, *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data masked in text_col: base entities and generalised terms become their class in brackets, terms at
     REMOVE go. Of spans that overlap, the first takes the others in."""
-    rows = with_spans(docs, text_col)
+    into = unused("pii_spans", docs)
+    rows = with_spans(docs, text_col, into)
     text, names = F.col(text_col), F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    mask = lambda s: F.when(F.coalesce(s["share"], F.lit(0.0)) >= REMOVE, F.lit("")).otherwise(F.get(names, s["kind"]))
+
+    def masked(spans: Column) -> Column:
+        """What comes before each span, where it is in no other, and its mask; each block takes its pieces from its own section of the text."""
+        at = before_each(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+        placed = F.zip_with(spans, at, lambda s, begin: F.struct(begin.alias("at"), s["start"].alias("start"), s["end"].alias("end"), mask(s).alias("mask")))
+
+        def block(parts: Column) -> Column:
+            begin, end = F.get(parts, F.lit(0))["at"], F.array_max(F.transform(parts, lambda p: p["start"]))
+            piece = lambda section: F.array_join(F.transform(parts, lambda p: F.when(p["start"] >= p["at"], F.concat(F.substring(section, p["at"] - begin + 1, p["start"] - p["at"]), p["mask"])).otherwise("")), "")
+            return let(F.substring(text, begin + 1, F.greatest(end - begin, F.lit(0))), piece)
 
-    def step(held: Column, s: Column) -> Column:
-        mask = F.when(F.coalesce(s["share"], F.lit(0.0)) >= REMOVE, F.lit("")).otherwise(F.get(names, s["kind"]))
-        piece = F.when(s["start"] >= held["at"], F.concat(F.substring(text, held["at"] + 1, s["start"] - held["at"]), mask)).otherwise("")
-        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["out"], F.array(piece)).alias("out"))
+        rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(let(placed, lambda p: F.array_join(F.transform(in_blocks(p), block), "")), rest)
 
-    done = F.aggregate("pii_spans", start, step, lambda held: F.concat(F.array_join(held["out"], ""), F.substring(text, held["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("pii_spans") > 0, done).otherwise(text)).select(docs.columns)
+    done = F.when(F.size(into) > 0, let(F.col(into), masked)).otherwise(text)
+    return rows.withColumn(text_col, done).select(docs.columns)

@@ -7,7 +7,9 @@ themselves and whose pairs are all compatible is exactly what merging would give
 through exact merging.
 
 Defined cases: a null text counts as empty and gives no ids; the special token's own string in a text gives
-its id, as in the tokenizers library; repeated rows each give a row; any other columns are left out.
+its id, as in the tokenizers library; a very long text is encoded whole, as a slice of its own; repeated rows each give a row, and
+those that lie together are encoded once; an empty table gives an empty result; any other columns are left out by encode() and
+digests() and kept by decode(), whose new column gets a free name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, id_text_slices
+from .common import Recent, id_text_slices, unused
 
 #: Distinct pieces in a generation of what a worker remembers.
 CACHE_PIECES = 150_000
@@ -198,19 +200,18 @@ def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab_path)
         for ids, texts in id_text_slices(batches):
-            rows = bpe.encode_batch(texts)
-            columns = [ids, pa.array(rows, pa.binary()), *([pa.array(map(bpe.decode, rows), pa.string())] if decoded else [])]
-            yield pa.record_batch(columns, names=[id_col, "ids_le", "decoded"][: len(columns)])
+            each = pa.array(texts, pa.string()).dictionary_encode()
+            rows = bpe.encode_batch(each.dictionary.to_pylist())
+            columns = [pa.array(rows, pa.binary()), *([pa.array(map(bpe.decode, rows), pa.string())] if decoded else [])]
+            yield pa.record_batch([ids, *(c.take(each.indices) for c in columns)], names=[id_col, "ids_le", "decoded"][: 1 + len(columns)])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids_le", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids_le") -> DataFrame:
-    """All columns of df and ``decoded``, the text of the ids (special tokens kept)."""
-    if "decoded" in df.columns:
-        raise ValueError("the input has a column named decoded already; rename it first")
-    at = df.columns.index(ids_col)
+    """All columns of df and ``decoded`` (with underscores, should df have that name), the text of the ids (special tokens kept)."""
+    at, into = df.columns.index(ids_col), unused("decoded", df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab_path)
@@ -218,17 +219,18 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids_le") -> DataFrame
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
                 texts = [bpe.decode(x or b"") for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, n_tokens, and the SHA-256 of its ids and of the text decoded from them."""
+def digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: the id, n_tokens, the SHA-256 of its ids and of the text decoded from them, and the ids (ids_le) if wanted."""
     done = encode(df, vocab_path, id_col, text_col, decoded=True)
     return done.select(
         id_col,
         F.expr("cast(octet_length(ids_le) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        *(["ids_le"] if with_ids else []),
     )

@@ -8,8 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from ..runtime import small_batches, table
 from . import ann, bpe, chunks, language, mixing, near_dups, oracles, pii, quality, token_files, warc
 
@@ -78,10 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_gear_chunks": op9_gear_chunks,
         "op10_speculative_bpe": op10_speculative_bpe,
-        "pipeline": corpus_pipeline.run,
     }
     return {name: _tuned(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(oracles.SQL)

@@ -1,7 +1,13 @@
 """A corpus from raw documents to token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder
-and hands the reread table to the next stage. All but the last return the columns of documents.
+and hands the reread table to the next stage. All but the last return the columns of documents; the last returns the token ids of each
+row that the mix takes, as little-endian unsigned 32-bit integers, with their number and digests. Rows of one document lie
+together after the mix and are encoded once.
+
+Defined cases: null and empty texts fail the quality rules, so the later stages get none from them, and stand them if they are called
+alone; a null id is kept apart from all others; very long texts are taken whole; equal rows are copies of each other, of which all but
+those with the smallest id go; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,9 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their decoding, as digests."""
+    """Token ids, and digests of them and of their decoding."""
     small_batches(spark)
-    return bpe.digests(docs, VOCABULARY)
+    return bpe.digests(docs, VOCABULARY, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -59,13 +59,14 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Hold batches for Python workers to ``size`` bytes, unless the session allows less.
+    """Hold batches for Python workers to ``size`` bytes, unless the session allows less; the setting stays in the session, since plans read
+    it when they run.
 
     Texts differ in length by orders of magnitude, and a batch is held by the JVM and by its worker at once.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.match(r"(\d+)(\w?)", spark.conf.get(name)).groups()
-    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit.lower(), 0) > size:
+    told = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get(name).strip().lower())  # anything else, as -1, is no bound
+    if told is None or int(told[1]) << 10 * " kmgtp".index(told[2] or " ") > size:
         spark.conf.set(name, str(size))
 
 

@@ -70,8 +70,11 @@ def test_run_equals_brute_force(spark, documents, sf):
     want = []
     for i, t, _ in docs:
         ids = library.encode(t, add_special_tokens=False).ids
-        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
+        raw = np.array(ids, "<u4").tobytes()
+        want.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), raw))
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids_le"]
+    assert sorted((*r[:4], bytes(r[4])) for r in got.collect()) == sorted(want)
 
 
 def test_stages_keep_columns_and_stand_odd_rows(spark, odd, sf):

@@ -73,6 +73,7 @@ def test_pii_base(spark, documents, odd, no_documents):
     assert pii.report(no_documents).count() == 0
     assert pii.sanitise(odd).columns == odd.columns
     assert pii.sanitise(odd).where("doc_id = 2 and text is null").count() == 1
+    assert pii.sanitise(odd).where("pii_spans <> 'kept'").count() == 0
 
 
 def test_terms_that_disclose_are_found_everywhere(spark):
@@ -100,6 +101,36 @@ def test_sanitised_overlaps(spark):
     assert [r["text"] for r in pii.sanitise(df).orderBy("doc_id").collect()] == ["call [PHONE] or [EMAIL].", "no data"]
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Blocks of spans put together: equal to brute force, and in time about proportional to their number."""
+    import time
+
+    def seconds(n):
+        text = "Ünder " + " ".join(f"u{i}@ex.org x{i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        r = pii.report(df).first()
+        clean = pii.sanitise(df).first()["text"]
+        took = time.perf_counter() - start
+        assert clean == "Ünder " + " ".join(f"[EMAIL] x{i}" for i in range(n))
+        want = pii_base(text)
+        assert ([r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]], r["base_sha256"]) == want
+        return took
+
+    seconds(300)
+    few, many = seconds(1000), seconds(8000)
+    assert many < 8 * few + 10
+
+
+def test_terms_hidden_by_base_spans(spark):
+    rng = random.Random(12)
+    for _ in range(5):
+        spans = sorted((s, rng.choice([0, 1, 2, 3, 4, 4, 4]), s + rng.randint(1, 9)) for s in rng.sample(range(4000), 700))
+        want = [s for s in spans if s[1] < 4 or not any(b[1] < 4 and b[0] < s[2] and s[0] < b[2] for b in spans)]
+        df = spark.createDataFrame([(spans,)], "spans array<struct<start:int,kind:int,end:int>>")
+        assert [tuple(s) for s in df.select(pii.visible(F.col("spans")).alias("v")).first()["v"]] == want
+
+
 @pytest.fixture(scope="module")
 def model(documents):
     return language.fit(documents)
@@ -121,6 +152,59 @@ def test_words_of_switched_text_are_told_apart(documents, model):
     assert np.mean(np.array(named) == ["en"] * 40 + ["fr"] * 40 + ["en"] * 40) > 0.9
 
 
+def by_hand(word, model):
+    """Emission of a word, n-gram by n-gram."""
+    low = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else ""
+    padded = ["", *map(low, word), ""]
+    out = np.zeros(len(model.langs))
+    for n in range(1, language.NGRAM + 1):
+        for i in range(len(padded) - n + 1):
+            part = padded[i : i + n]
+            if not any(part) or not all(part if n == 1 else part[1:-1]):
+                continue
+            h = n
+            for c in part:
+                h = ((h ^ (ord(c) if c else 0)) * 0x9E3779B97F4A7C15) % 2**64
+                h ^= h >> 32
+            out += model.weights[(h >> (64 - language.BITS)) % len(model.weights)]
+    for run in "".join(c or " " for c in map(low, word)).split():
+        h = sum(ord(c) * pow(0x100000001B3, j + 1, 2**64) for j, c in enumerate(run)) % 2**64
+        at = np.flatnonzero(model.lexicon == np.uint64(h))
+        if len(at):
+            out += model.trust * model.odds[at[0]]
+    return out
+
+
+def test_predictions_equal_brute_force(spark, documents, model):
+    """Features and emissions by hand, posteriors by plain recursions over one text at a time."""
+    texts = [" ".join((r["text"] or "").split()[:60]) for r in documents.limit(12).collect()] + ["don't l'été 42 x-ray", "7 8", "Straße a1b2 \u0130x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df, model).collect()}
+    for i, text in enumerate(texts):
+        emit = [by_hand(w, model) for w in text.split() if any(map(str.isalpha, w))]
+        if not emit:
+            assert got[i] == ("und", 0.0)
+            continue
+        move, alphas, beta, post = np.exp(model.moves), [], np.ones(len(model.langs)), []
+        for e in emit:
+            a = np.exp(e - e.max()) * (np.exp(model.start) if not alphas else alphas[-1] @ move)
+            alphas.append(a / a.sum())
+        for e, a in zip(emit[::-1], alphas[::-1], strict=True):
+            post.append(a * beta / (a * beta).sum())
+            beta = move @ (np.exp(e - e.max()) * beta)
+            beta /= beta.sum()
+        mean = np.mean(post, axis=0)
+        assert got[i][0] == model.langs[int(mean.argmax())] and abs(got[i][1] - mean.max()) < 1e-4
+
+
+def test_small_languages_keep_their_words(spark):
+    """A language with very many words takes no place in the lexicon from another."""
+    rows = [(i, " ".join(f"{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(i * 30, i * 30 + 30)), "big") for i in range(80)] + [(1000 + i, "zzzz yyyy", "small") for i in range(3)] + [(None, "nowhere", "small")]
+    found = {r["word"]: {b["lang"]: b["n"] for b in r["by"]} for r in language.lexicon_table(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found["zzzz"] == {"small": 3} and len(found) == 2403
+    assert language.sampled(spark.createDataFrame(rows * 2 + [(1000, "aaaa", "small")], "doc_id long, text string, lang string")).where("lang = 'small'").count() == 3
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 

@@ -10,6 +10,7 @@ import pytest
 from brute import crc
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oakgraph.llm import bpe, token_files
@@ -81,6 +82,7 @@ def test_decode_of_stored_ids(documents):
     assert stored.columns == ["doc_id", "ids_le"]
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode(stored, BYTE).collect()}
     assert got == {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert bpe.decode(stored.withColumn("decoded", F.lit(1)).limit(1), BYTE).columns == ["doc_id", "ids_le", "decoded", "decoded_"]
 
 
 def check_files(df, library):
@@ -100,6 +102,12 @@ def test_files(documents, odd, no_documents, word_library):
     assert token_files.round_trip(no_documents, WORDS).count() == 0
 
 
+def test_rows_that_share_an_id_have_one_order(spark):
+    rows = [(1, "alpha beta"), (1, "one two three four five"), (1, None), (2, "x"), (None, "y"), (None, "a b")]
+    both = [sorted((str(r[0]), *r[1:]) for r in token_files.round_trip(spark.createDataFrame(x, "doc_id long, text string").repartition(3), WORDS).collect()) for x in (rows, rows[::-1])]
+    assert both[0] == both[1] and [(r[1], r[2]) for r in both[0] if r[0] == "1"] != []
+
+
 def test_lookup_by_id_reads_the_same(spark, documents, tmp_path):
     token_files.write(documents, f"file://{tmp_path}/t", WORDS)
     everything = {r["doc_id"]: (r["start"], r["ids"]) for r in token_files.read(spark, f"file://{tmp_path}/t").collect()}

@@ -8,7 +8,7 @@ grows with the logarithm of their length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -71,6 +71,19 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max
     return seen
 
 
+def reach_from_each(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, level): what each of roots (root) reaches, itself included, each pair once; all roots are walked together."""
+    step = edges.select("src", "dst").distinct()
+    seen = fresh = materialize(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level")).distinct(), "each")
+    level = 0
+    while not fresh.isEmpty():
+        level += 1
+        ahead = step.join(fresh.select("root", F.col("node").alias("src")), "src").select("root", F.col("dst").alias("node")).distinct()
+        fresh = materialize(ahead.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level)), "each")
+        seen = seen.unionAll(fresh)
+    return seen
+
+
 def closure(edges: DataFrame, present: DataFrame, low: DataFrame, high: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph between high and low: nodes (node) reached from high without passing low, with those of low that are present; and
     the edges among them, turned around (from what is needed to what needs it). Nodes that are not present are left out."""
@@ -134,3 +147,27 @@ def without_shallow(edges: DataFrame, shallow: DataFrame) -> DataFrame:
     """Edges, without those to the parents of shallow commits (oid)."""
     cut = edges.where("kind = 'parent'").join(shallow.select(F.col("oid").alias("src")), "src", "left_anti")
     return cut.unionByName(edges.where("kind <> 'parent'"))
+
+
+def commit_graph(commits: DataFrame) -> DataFrame:
+    """Edges (src, dst, kind, label) between commits (node, parent) alone, those that are there at both ends."""
+    parents = commits.where(F.col("parent").isNotNull()).select(F.col("node").alias("oid"), "parent", F.lit(0).alias("pos"))
+    return present_edges(object_edges(commits, parents, commits, commits, full=False), commits)
+
+
+def with_parents(edges: DataFrame, commits: DataFrame, *columns: str) -> DataFrame:
+    """commits with a row for each parent edge that leads to a commit: parent, and the columns of the parent as parent_<column>."""
+    parents = commits.select(F.col("node").alias("dst"), *(F.col(c).alias(f"parent_{c}") for c in columns))
+    links = edges.where("kind = 'parent'").select(F.col("src").alias("node"), "dst").join(parents, "dst").withColumnRenamed("dst", "parent")
+    return commits.drop("parent").join(links, "node")
+
+
+def newer_than(commits: DataFrame, seconds: int) -> DataFrame:
+    """The commits (ts) of the last seconds before the newest one, that many included."""
+    newest = commits.agg(F.max("ts").alias("newest"))
+    return commits.join(F.broadcast(newest)).where(F.col("ts") >= F.col("newest") - seconds).drop("newest")
+
+
+def date_order(commits: DataFrame, group: str) -> DataFrame:
+    """commits with the column place, their number within a group by date, then name."""
+    return commits.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("ts", "node")).cast("long"))

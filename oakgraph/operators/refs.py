@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import objects as O
 from ..runtime import materialize
 
 
@@ -81,6 +82,16 @@ def push_plan(commands: DataFrame, local: DataFrame, remote: DataFrame) -> DataF
     return rows.select("op", "dst", F.when(F.col("op") != "create", F.col("old")).alias("old_oid"), F.when(F.col("op") != "delete", F.col("new")).alias("new_oid"))
 
 
+def empty_commits(branches: DataFrame, commits: DataFrame, who: Column, message: Column) -> DataFrame:
+    """(name, parent, tree, raw, oid): for each of branches (name, oid), resolved, a commit without changes, which has the tree of the
+    branch's commit and that commit as its parent; branches without one in commits (oid, tree) are left out. With a seq the rows are
+    writes for upsert()."""
+    heads = branches.join(commits.select("oid", "tree"), "oid").withColumnRenamed("oid", "parent")
+    none = F.array().cast("array<struct<key:string,lines:array<string>>>")
+    raw = O.commit_payload(F.col("tree"), F.array("parent"), who, who, none, message)
+    return heads.select("name", "parent", "tree", raw.alias("raw")).withColumn("oid", O.object_id("commit", F.col("raw")))
+
+
 def push_limits(plan: DataFrame, remote: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node) of sources and of exclude: new ids, and what the other side has."""
     sources = plan.where("new_oid is not null").select(F.col("new_oid").alias("node")).distinct()

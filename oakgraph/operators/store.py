@@ -33,9 +33,9 @@ def read(objects: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFra
 
 
 def exists(objects: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(oid, present), a row for each row of wanted."""
+    """wanted (oid, other columns) with the column present, a row for each row of wanted."""
     have = objects.select(F.col("oid").alias("have")).distinct()
-    return wanted.join(have, F.col("oid") == F.col("have"), "left").select("oid", F.col("have").isNotNull().alias("present"))
+    return wanted.join(have, F.col("oid") == F.col("have"), "left").select(*[wanted[c] for c in wanted.columns], F.col("have").isNotNull().alias("present"))
 
 
 def append(objects: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,13 +46,13 @@ def append(objects: DataFrame, new: DataFrame) -> DataFrame:
 def pack_index(objects: DataFrame) -> DataFrame:
     """(oid, offset, crc, fanout): where objects lie when stored in the order of their ids; fanout is the first byte.
 
-    Offsets are running sums, taken within a first byte and over the 256 totals, so no window holds all rows.
+    Offsets are running sums, taken within the first two bytes and over the 65,536 totals at most, so no window holds all rows.
     """
-    rows = objects.select("oid", "size", F.crc32("raw").alias("crc"), O.id_byte(F.col("oid"), 0).alias("fanout"))
-    totals = rows.groupBy("fanout").agg(F.sum("size").alias("held"))
-    base = totals.select("fanout", F.coalesce(F.sum("held").over(Window.orderBy("fanout").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum("size").over(Window.partitionBy("fanout").orderBy("oid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inner", inner).join(F.broadcast(base), "fanout").select("oid", (F.col("base") + F.col("inner")).cast("long").alias("offset"), "crc", "fanout")
+    rows = objects.select("oid", "size", F.crc32("raw").alias("crc"), O.id_byte(F.col("oid"), 0).alias("fanout"), F.substring("oid", 1, 4).alias("part"))
+    totals = rows.groupBy("part").agg(F.sum("size").alias("held"))
+    base = totals.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("oid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("inner", inner).join(F.broadcast(base), "part").select("oid", (F.col("base") + F.col("inner")).cast("long").alias("offset"), "crc", "fanout")
 
 
 def fanout(objects: DataFrame) -> DataFrame:

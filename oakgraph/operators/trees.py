@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,9 +107,11 @@ def find(entries: DataFrame, queries: DataFrame) -> DataFrame:
     return open_rows.select("qid", "oid")
 
 
-def fold(objects: DataFrame, reached: DataFrame) -> DataFrame:
-    """(root, kind, n, total): number and bytes by kind of what each root reaches; reached: (root, node), each pair once."""
-    return reached.join(objects.select(F.col("oid").alias("node"), "kind", "size"), "node").groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("total"))
+def fold(objects: DataFrame, reached: DataFrame, *aggregates: Column, by: tuple[str, ...] = ("root", "kind")) -> DataFrame:
+    """Aggregates over the objects (oid, kind, size, more) that each root reaches, the caller's or their number and bytes (n, total);
+    reached: (root, node), each pair once, as of graph.reach_from_each()."""
+    aggregates = aggregates or (F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("total"))
+    return reached.join(objects.withColumnRenamed("oid", "node"), "node").groupBy(*by).agg(*aggregates)
 
 
 def to_dot(links: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -201,9 +201,8 @@ def pack_index(spark, sf):
 
 @query(f"WITH {B} SELECT doc_id, EXISTS (SELECT 1 FROM blobs b WHERE b.doc_id % 3 <> 0 AND b.oid = a.oid) AS present FROM blobs a")
 def object_exists(spark, sf):
-    rows = model.blobs(spark, sf)
-    have = rows.where("doc_id % 3 <> 0").select(F.col("oid").alias("have")).distinct()
-    return rows.join(have, F.col("oid") == F.col("have"), "left").select("doc_id", F.col("have").isNotNull().alias("present"))
+    rows = model.blobs(spark, sf).select("doc_id", "oid")
+    return store.exists(rows.where("doc_id % 3 <> 0"), rows).drop("oid")
 
 
 @query(f"WITH {B} SELECT oid, min(doc_id) AS doc_id FROM blobs WHERE oid NOT IN (SELECT oid FROM blobs WHERE doc_id % 2 = 0) GROUP BY oid")
@@ -262,10 +261,13 @@ def ref_path_lookup(spark, sf):
 def object_fold_sizes(spark, sf):
     """Objects below each source's tree by kind: how many entries and bytes, each object once a directory."""
     written = materialize(trees.write_trees(model.staged(spark, sf)), "written")
-    sizes = model.blobs(spark, sf).select("oid", "size").distinct()
-    files = written.where("perm <> '40000'").select("parent", "oid").distinct().join(sizes, "oid").select(F.substring_index("parent", "/", 1).alias("root"), F.lit("blob").alias("kind"), "size")
-    dirs = written.where("perm = '40000' and depth = 2").select(F.substring_index("path", "/", 1).alias("root"), F.lit("tree").alias("kind"), "size")
-    return files.unionAll(dirs).groupBy("root", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    is_tree = F.col("perm") == "40000"
+    node = F.when(is_tree, F.col("path")).otherwise(F.concat_ws(":", "parent", "oid"))
+    below = written.where("path <> '' and parent <> ''")
+    reached = graph.reach_from_each(below.select(F.col("parent").alias("src"), node.alias("dst")), written.where(is_tree & (F.col("depth") == 1)).select(F.col("path").alias("root")))
+    sizes = model.blobs(spark, sf).select("oid", F.col("size").alias("held")).distinct()
+    objects = below.join(sizes, "oid", "left").select(node.alias("oid"), F.when(is_tree, "tree").otherwise("blob").alias("kind"), F.coalesce("size", "held").alias("size")).distinct()
+    return trees.fold(objects, reached.where("level > 0"))
 
 
 @query(f"WITH {TREES} SELECT DISTINCT t.oid AS src, l.node AS dst, l.name AS label FROM leaf l JOIN t2 t USING (dir) UNION SELECT t1.oid, e1.node, e1.name FROM e1 JOIN t1 USING (dir) UNION SELECT t0.oid, e0.node, e0.name FROM e0 JOIN t0 USING (dir)")
@@ -342,7 +344,9 @@ def common_nodes(spark, sf):
 
 @query(f"WITH {COMMITS} SELECT user_id, count(*) AS n_commits, count(parent) AS n_parents FROM commits GROUP BY user_id")
 def commit_parents(spark, sf):
-    return model.commits(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_commits"), F.count("parent").alias("n_parents"))
+    commits = model.commits(spark, sf)
+    parents = graph.commit_graph(commits).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return commits.join(parents, "node", "left").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_commits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_parents"))
 
 
 @query(f"WITH {COMMITS} SELECT event_type, count(*) AS n FROM commits WHERE parent IS NOT NULL AND event_type <> (SELECT min(event_type) FROM events) GROUP BY event_type")
@@ -357,14 +361,12 @@ def shallow_cut(spark, sf):
 
 @query(f"WITH {COMMITS} SELECT node, ts, user_id FROM commits WHERE ts >= (SELECT max(ts) - 86400 FROM commits)")
 def commits_since(spark, sf):
-    c = model.commits(spark, sf)
-    newest = c.agg(F.max("ts")).first()[0]
-    return c.where(F.col("ts") >= F.lit(newest) - 86400).select("node", "ts", "user_id")
+    return graph.newer_than(model.commits(spark, sf), 86400).select("node", "ts", "user_id")
 
 
 @query(f"WITH {COMMITS} SELECT user_id, node, row_number() OVER (PARTITION BY user_id ORDER BY ts, node) AS place FROM commits")
 def commit_date_order(spark, sf):
-    return model.commits(spark, sf).select("user_id", "node", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "node")).cast("long").alias("place"))
+    return graph.date_order(model.commits(spark, sf), "user_id").select("user_id", "node", "place")
 
 
 @query(f"WITH {COMMITS} SELECT event_type, ts, node FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, node) AS r FROM commits) WHERE r = 1")
@@ -470,6 +472,20 @@ def refspec_map(spark, sf):
     return refs.map_refspecs(model.heads(spark, sf), specs.distinct())
 
 
+@query(
+    f"""WITH {HEADS}, h AS (SELECT name, sha1(oid) AS parent, sha1(event_type) AS tree FROM heads JOIN events ON 'e' || event_id = oid),
+    p AS (SELECT name, parent, 'tree ' || tree || chr(10) || 'parent ' || parent || chr(10) || 'author o <o@example.org> 1700000000 +0000' || chr(10) || 'committer o <o@example.org> 1700000000 +0000' || chr(10) || chr(10) || name AS p FROM h)
+    SELECT name, parent, sha1(concat('commit ', octet_length(encode(p)), chr(0), p)) AS oid FROM p"""
+)
+def empty_commit(spark, sf):
+    """Every branch moved to a commit without changes on top of it."""
+    heads = model.heads(spark, sf).withColumn("oid", F.sha1("oid"))
+    commits = model.commits(spark, sf).select(F.sha1("node").alias("oid"), F.sha1("event_type").alias("tree"))
+    who = O.user_line(F.lit("o"), F.lit("o@example.org"), F.lit(1_700_000_000), F.lit("+0000"))
+    new = refs.empty_commits(heads, commits, who, F.col("name"))
+    return refs.upsert(heads, new.select("name", "oid", F.lit(1).alias("seq"))).join(new.select("name", "parent"), "name")
+
+
 @query(
     f"""WITH {HEADS}, rem AS (SELECT 'refs/heads/u' || user_id AS name, 'e' || min(event_id) AS oid FROM events WHERE user_id % 3 = 0 GROUP BY user_id),
     cmd AS (SELECT CASE u % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'create' ELSE 'delete' END AS op, 'refs/heads/u' || u AS src, 'refs/heads/u' || (CASE WHEN u % 5 = 0 THEN u + 1 ELSE u END) AS dst FROM (SELECT DISTINCT user_id AS u FROM events)),
@@ -610,8 +626,7 @@ def key_value_insert(spark, sf):
 def parent_dates(spark, sf):
     """Commits joined with their parents' dates."""
     c = model.commits(spark, sf)
-    p = c.select(F.col("node").alias("parent"), F.col("ts").alias("parent_ts"))
-    return c.join(p, "parent").select("node", "parent", "parent_ts", (F.col("ts") - F.col("parent_ts")).alias("gap"))
+    return graph.with_parents(graph.commit_graph(c), c, "ts").select("node", "parent", "parent_ts", (F.col("ts") - F.col("parent_ts")).alias("gap"))
 
 
 # Files

@@ -8,11 +8,37 @@ grows with the logarithm of their length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
+#: Tables of single steps that a walk merges into one, and then such tables again: at any depth its plans have few scans, and
+#: what was seen is written anew a number of times that grows with the logarithm of the depth.
+PIECES = 16
+
+
+class Seen:
+    """What a walk has found: one table in written pieces."""
+
+    def __init__(self, first: DataFrame):
+        self.pieces = [(0, first)]
+
+    def all(self) -> DataFrame:
+        return self.union(self.pieces)
+
+    def add(self, fresh: DataFrame) -> None:
+        self.pieces.append((0, fresh))
+        while len(self.pieces) >= PIECES and self.pieces[-PIECES][0] == self.pieces[-1][0]:  # ranks never grow along the list
+            last, self.pieces = self.pieces[-PIECES:], self.pieces[:-PIECES]
+            self.pieces.append((last[0][0] + 1, materialize(self.union(last), "seen")))
+
+    @staticmethod
+    def union(pieces: list[tuple[int, DataFrame]]) -> DataFrame:
+        return reduce(DataFrame.unionAll, [df for _, df in pieces])
+
 
 def object_edges(commits: DataFrame, parents: DataFrame, tags: DataFrame, entries: DataFrame, full: bool = True) -> DataFrame:
     """(src, dst, kind, label) of all objects: commits (oid, tree), parents (oid, parent, pos), tags (oid, obj, tag), tree entries (tree, name,
@@ -30,14 +56,15 @@ def reach_named(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, path): what seeds (node) reach, with the labels on the way joined by slashes; of several ways in as many steps the
     path that comes first."""
     step = edges.select("src", "dst", "label").distinct()
-    seen = fresh = materialize(seeds.select("node", F.lit("").alias("path")).distinct(), "named")
+    fresh = materialize(seeds.select("node", F.lit("").alias("path")).distinct(), "named")
+    seen = Seen(fresh)
     while not fresh.isEmpty():
         ahead = step.join(fresh.select(F.col("node").alias("src"), "path"), "src")
         path = F.when(F.col("path") == "", F.col("label")).otherwise(F.concat_ws("/", "path", "label"))
         ahead = ahead.groupBy(F.col("dst").alias("node")).agg(F.min(path).alias("path"))
-        fresh = materialize(ahead.join(seen, "node", "left_anti"), "named")
-        seen = seen.unionAll(fresh)
-    return seen
+        fresh = materialize(ahead.join(seen.all(), "node", "left_anti"), "named")
+        seen.add(fresh)
+    return seen.all()
 
 
 def pack_order(edges: DataFrame, nodes: DataFrame, objects: DataFrame) -> DataFrame:
@@ -56,32 +83,32 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, max
     step = edges.select("src", "dst")
     fresh = seeds.select("node").distinct()
     if stop is not None:
-        stop = stop.select("node").distinct()
+        stop = stop.select("node")
         fresh = fresh.join(stop, "node", "left_anti")
-    seen = fresh = materialize(fresh.select("node", F.lit(0).alias("level")), "reach")
-    level = 0
+    fresh = materialize(fresh.select("node", F.lit(0).alias("level")), "reach")
+    seen, level = Seen(fresh), 0
     while not fresh.isEmpty() and (max_depth is None or level < max_depth):
         level += 1
         ahead = step.join(fresh.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        ahead = ahead.join(seen, "node", "left_anti")
+        ahead = ahead.join(seen.all(), "node", "left_anti")
         if stop is not None:
             ahead = ahead.join(stop, "node", "left_anti")
         fresh = materialize(ahead.select("node", F.lit(level).alias("level")), "reach")
-        seen = seen.unionAll(fresh)
-    return seen
+        seen.add(fresh)
+    return seen.all()
 
 
 def reach_from_each(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, level): what each of roots (root) reaches, itself included, each pair once; all roots are walked together."""
     step = edges.select("src", "dst").distinct()
-    seen = fresh = materialize(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level")).distinct(), "each")
-    level = 0
+    fresh = materialize(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level")).distinct(), "each")
+    seen, level = Seen(fresh), 0
     while not fresh.isEmpty():
         level += 1
         ahead = step.join(fresh.select("root", F.col("node").alias("src")), "src").select("root", F.col("dst").alias("node")).distinct()
-        fresh = materialize(ahead.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level)), "each")
-        seen = seen.unionAll(fresh)
-    return seen
+        fresh = materialize(ahead.join(seen.all(), ["root", "node"], "left_anti").withColumn("level", F.lit(level)), "each")
+        seen.add(fresh)
+    return seen.all()
 
 
 def closure(edges: DataFrame, present: DataFrame, low: DataFrame, high: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,15 +128,15 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     step = edges.select("src", "dst").distinct()
     moved = materialize(nodes.select("node").join(step.select(F.col("dst").alias("node")), "node", "left_anti").distinct(), "levels")
-    found, level, total = moved.select("node", F.lit(0).alias("level")), 0, None
+    found, level, total = Seen(moved.select("node", F.lit(0).alias("level"))), 0, None
     while not moved.isEmpty():
         level += 1
         moved = materialize(step.join(moved.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct(), "levels")
         total = nodes.count() if total is None else total
         if level > total:
             raise ValueError("the graph has a cycle")
-        found = found.unionAll(moved.select("node", F.lit(level).alias("level")))
-    return found.groupBy("node").agg(F.max("level").alias("level"))
+        found.add(moved.select("node", F.lit(level).alias("level")))
+    return found.all().groupBy("node").agg(F.max("level").alias("level"))
 
 
 def chains(parents: DataFrame) -> DataFrame:
@@ -126,11 +153,24 @@ def chains(parents: DataFrame) -> DataFrame:
 
 
 def difference(edges: DataFrame, sources: DataFrame, exclude: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node): what sources reach and exclude does not."""
-    known = reach(edges, exclude, max_depth=max_depth).select("node")
+    """(node): what sources reach and exclude does not.
+
+    Without max_depth all that a known node reaches is known, so the walk from sources stops there.
+    """
+    known = materialize(reach(edges, exclude, max_depth=max_depth).select("node"), "known")
+    if max_depth is None:
+        return reach(edges, sources, stop=known).select("node")
     return reach(edges, sources, max_depth=max_depth).select("node").join(known, "node", "left_anti")
 
 
+def deepen_not(edges: DataFrame, tips: DataFrame, without: DataFrame) -> DataFrame:
+    """(node, shallow): what tips reach and without does not; shallow where an edge leads to what was left out."""
+    known = materialize(reach(edges, without).select("node"), "known")
+    nodes = reach(edges, tips, stop=known).select("node")
+    cut = edges.select(F.col("src").alias("node"), F.col("dst")).join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("node").distinct()
+    return nodes.join(cut.withColumn("cut", F.lit(True)), "node", "left").select("node", F.col("cut").isNotNull().alias("shallow"))
+
+
 def common(edges: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(node, boundary): what both sides reach; boundary where nothing common leads there."""
     both = materialize(reach(edges, ours).select("node").intersect(reach(edges, theirs).select("node")), "common")
@@ -149,6 +189,14 @@ def without_shallow(edges: DataFrame, shallow: DataFrame) -> DataFrame:
     return cut.unionByName(edges.where("kind <> 'parent'"))
 
 
+def apply_shallow(shallow: DataFrame, lines: DataFrame) -> DataFrame:
+    """shallow (oid) after lines (type, oid, seq) of an exchange: `shallow` puts a commit in, `unshallow` takes it out, the last line
+    on a commit decides, and other lines do nothing."""
+    said = lines.where(F.col("type").isin("shallow", "unshallow")).groupBy("oid").agg(F.max_by("type", F.struct("seq", "type")).alias("said"))
+    kept = shallow.select("oid").join(said.where("said = 'unshallow'"), "oid", "left_anti")
+    return kept.unionByName(said.where("said = 'shallow'").select("oid")).distinct()
+
+
 def commit_graph(commits: DataFrame) -> DataFrame:
     """Edges (src, dst, kind, label) between commits (node, parent) alone, those that are there at both ends."""
     parents = commits.where(F.col("parent").isNotNull()).select(F.col("node").alias("oid"), "parent", F.lit(0).alias("pos"))

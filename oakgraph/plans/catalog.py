@@ -359,6 +359,24 @@ def shallow_cut(spark, sf):
     return graph.without_shallow(edges, shallow).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {COMMITS}, ends AS (SELECT min(event_type) AS a, max(event_type) AS z FROM events)
+SELECT node AS oid FROM commits, ends WHERE (event_type = a AND parent IS NULL) OR event_type = z""")
+def shallow_update(spark, sf):
+    """Shallow commits of one type after an exchange that gives those with a parent theirs and cuts at another type."""
+    ends = table(spark, sf, "events").agg(F.min("event_type").alias("a"), F.max("event_type").alias("z"))
+    c = model.commits(spark, sf).join(F.broadcast(ends))
+    kind = F.when(F.col("event_type") == F.col("z"), "shallow").when((F.col("event_type") == F.col("a")) & F.col("parent").isNotNull(), "unshallow")
+    return graph.apply_shallow(c.where("event_type = a").select(F.col("node").alias("oid")), c.select(kind.alias("type"), F.col("node").alias("oid"), F.col("ts").alias("seq")))
+
+
+@query(f"""WITH RECURSIVE {STAR}, a AS (SELECT 'n4' AS node UNION SELECT dst FROM a JOIN star ON src = node), b AS (SELECT 'n5' AS node UNION SELECT dst FROM b JOIN star ON src = node)
+SELECT node, node IN (SELECT src FROM star WHERE dst IN (SELECT node FROM b)) AS shallow FROM (SELECT node FROM a EXCEPT SELECT node FROM b)""")
+def deepen_not(spark, sf):
+    """What nation 4 reaches and nation 5 does not, and where it is cut."""
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    return graph.deepen_not(materialize(model.star(spark, sf), "star"), one("n4"), one("n5"))
+
+
 @query(f"WITH {COMMITS} SELECT node, ts, user_id FROM commits WHERE ts >= (SELECT max(ts) - 86400 FROM commits)")
 def commits_since(spark, sf):
     return graph.newer_than(model.commits(spark, sf), 86400).select("node", "ts", "user_id")
@@ -606,9 +624,10 @@ def pack_select(spark, sf):
 def wire_messages(spark, sf):
     """Lines of an exchange framed as packets, and decoded."""
     k, oid, name = F.col("event_id") % 5, F.sha1(F.concat(F.lit("e"), F.col("event_id").cast("string"))), F.concat(F.lit("refs/heads/"), F.col("event_type"))
-    line = F.when(k == 0, F.concat(F.lit("want "), oid, F.lit("\n"))).when(k == 1, F.concat(F.lit("ACK "), oid, F.lit(" common\n"))).when(k == 2, F.concat(F.lit("ng "), name, F.lit(" locked\n"))).when(k == 3, F.concat(F.lit("0" * 40), F.lit(" "), oid, F.lit(" "), name))
-    rows = table(spark, sf, "events").select("event_id", packets.frame(F.encode(line, "UTF-8")).alias("packet"))
-    return packets.decode_messages(rows).select("event_id", "type", F.coalesce("oid", F.lit("")).alias("oid"), F.coalesce("detail", F.lit("")).alias("detail"))
+    kind = F.element_at(F.array(*map(F.lit, ("want", "ack", "ng", "create", "flush"))), (k + 1).cast("int"))
+    detail = F.when(k == 1, F.lit("common")).when(k == 2, F.concat(name, F.lit(" locked"))).when(k == 3, name)
+    rows = table(spark, sf, "events").select("event_id", kind.alias("type"), oid.alias("oid"), detail.alias("detail"))
+    return packets.decode_messages(packets.encode_messages(rows)).select("event_id", "type", F.coalesce("oid", F.lit("")).alias("oid"), F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 @query("WITH " + TREES.replace("FROM documents)", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3))") + " SELECT dir AS path, oid, size FROM t2 UNION ALL SELECT dir, oid, size FROM t1 UNION ALL SELECT dir, oid, size FROM t0")

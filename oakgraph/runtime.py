@@ -7,18 +7,21 @@ again, so that a lost executor costs a re-read and never a recomputation of the
 from __future__ import annotations
 
 import atexit
+import contextlib
 import pathlib
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +58,24 @@ def ship(spark: SparkSession) -> None:
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCRATCH:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all that is written below work_path() within; for steps whose result is written by then."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -91,5 +111,15 @@ def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that make() gives, written as materialize() does it; what make() wrote on its way is deleted then."""
+    path = work_path(spark, label)
+    small_batches(spark)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

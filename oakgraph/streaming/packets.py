@@ -55,6 +55,30 @@ def message(line: Column) -> Column:
     )
 
 
+def line_of(kind: Column, oid: Column, detail: Column, old: Column | None = None) -> Column:
+    """The line of a message, as message() takes it apart; old: the id before an update. Null for a flush."""
+    zeros = F.lit("0" * 40)
+    more = F.coalesce(F.concat(F.lit(" "), F.nullif(detail, F.lit(""))), F.lit(""))
+    text = (
+        F.when(kind.isin("want", "have", "shallow", "unshallow"), F.concat(kind, F.lit(" "), oid, more))
+        .when(kind == "ack", F.concat(F.lit("ACK "), oid, more))
+        .when(kind == "nak", F.lit("NAK"))
+        .when(kind == "done", kind)
+        .when(kind.isin("deepen", "unpack", "ok", "ng"), F.concat(kind, more))
+    )
+    command = F.when(kind == "create", F.concat_ws(" ", zeros, oid, detail)).when(kind == "delete", F.concat_ws(" ", oid, zeros, detail))
+    if old is not None:
+        command = command.when(kind == "update", F.concat_ws(" ", old, oid, detail))
+    return F.when(kind == "flush", F.lit(None).cast("string")).otherwise(F.coalesce(F.concat(text, F.lit("\n")), command, F.raise_error(F.concat(F.lit("no line for "), kind)).cast("string")))
+
+
+def encode_messages(rows: DataFrame) -> DataFrame:
+    """rows (..., type, oid, detail, and old if there are updates) with packet for these; decode_messages() turns it around."""
+    old = F.col("old") if "old" in rows.columns else None
+    packet = frame(F.encode(line_of(F.col("type"), F.col("oid"), F.col("detail"), old), "UTF-8"))
+    return rows.withColumn("packet", packet).drop("type", "oid", "detail", "old")
+
+
 def decode_messages(packets: DataFrame) -> DataFrame:
     """packets (..., packet) with type, oid and detail for packet; flushes have the type flush."""
     line = F.regexp_replace(F.decode(unframe(F.col("packet")), "UTF-8"), "\n$", "")

@@ -1,11 +1,15 @@
 """Walks, folds and limits against brute force."""
 
 import hashlib
+import pathlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from oakgraph import runtime
 from oakgraph.operators import graph, refs, trees
+from oakgraph.streaming import packets
 
 
 def reached(edges, root):
@@ -67,3 +71,73 @@ def test_a_tree_of_thirty_thousand_entries(spark):
     raw = b"".join(b"100644 " + n.encode() + b"\0" + bytes.fromhex(node(n)) for n in sorted(names))
     root = trees.write_trees(files).where("path = ''").first()
     assert root["oid"] == hashlib.sha1(b"tree %d\0" % len(raw) + raw).hexdigest() and root["size"] == len(raw)
+
+
+@pytest.mark.parametrize("pieces", [2, 3])
+def test_walks_merge_what_they_saw(spark, monkeypatch, pieces):
+    monkeypatch.setattr(graph, "PIECES", pieces)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(11)] + [("n3", "n7"), ("n0", "x"), ("y", "n9")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    one = lambda n: spark.createDataFrame([(n,), (n,)], "node string")
+    got = {r["node"]: r["level"] for r in graph.reach(df, one("n0")).collect()}
+    assert got == {f"n{i}": i if i < 7 else i - 3 for i in range(12)} | {"x": 1}
+    assert {r["node"] for r in graph.difference(df, one("n0"), one("y")).collect()} == {f"n{i}" for i in range(9)} | {"x"}
+    # with a depth what is known may lead on to what is not
+    assert {r["node"] for r in graph.difference(df, one("n3"), one("n4"), max_depth=2).collect()} == {"n3", "n7", "n8"}
+    levels = {r["node"]: r["level"] for r in graph.topological_levels(df, spark.createDataFrame([(n,) for n in {x for e in edges for x in e}], "node string")).collect()}
+    assert levels == {f"n{i}": i for i in range(12)} | {"x": 1, "y": 0}
+    cut = {r["node"]: r["shallow"] for r in graph.deepen_not(df, one("n5"), one("y")).collect()}
+    assert cut == {"n5": False, "n6": False, "n7": False, "n8": True}
+
+
+def test_merged_pieces_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PIECES", 3)
+    one = spark.createDataFrame([("a",)], "node string")
+    seen = graph.Seen(one)
+    for _ in range(25):
+        seen.add(one)
+    assert [rank for rank, _ in seen.pieces] == [2, 2, 1, 1, 0, 0] and seen.all().count() == 26
+
+
+def test_shallow_lines_are_applied(spark):
+    shallow = spark.createDataFrame([("a",), ("b",), ("c",)], "oid string")
+    lines = spark.createDataFrame([("unshallow", "a", 1), ("unshallow", "b", 1), ("shallow", "b", 2), ("shallow", "d", 1), ("unshallow", "e", 1), ("ack", "c", 3)], "type string, oid string, seq int")
+    assert sorted(r["oid"] for r in graph.apply_shallow(shallow, lines).collect()) == ["b", "c", "d"]
+    assert graph.apply_shallow(shallow.limit(0), lines.limit(0)).count() == 0
+
+
+def test_messages_as_they_are_sent(spark):
+    a, b, z = "a" * 40, "b" * 40, "0" * 40
+    rows = [
+        ("want", a, "ofs-delta", None, f"want {a} ofs-delta\n"), ("have", a, None, None, f"have {a}\n"), ("shallow", a, None, None, f"shallow {a}\n"), ("unshallow", a, None, None, f"unshallow {a}\n"),
+        ("ack", a, "common", None, f"ACK {a} common\n"), ("ack", a, None, None, f"ACK {a}\n"), ("nak", None, None, None, "NAK\n"), ("done", None, None, None, "done\n"), ("deepen", None, "3", None, "deepen 3\n"),
+        ("unpack", None, "ok", None, "unpack ok\n"), ("ok", None, "refs/x", None, "ok refs/x\n"), ("ng", None, "refs/x no", None, "ng refs/x no\n"), ("create", a, "refs/é", None, f"{z} {a} refs/é"),
+        ("delete", a, "refs/x", None, f"{a} {z} refs/x"), ("update", a, "refs/x", b, f"{b} {a} refs/x"), ("flush", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "type string, oid string, detail string, old string, line string")
+    sent = packets.encode_messages(df)
+    for r in sent.collect():
+        raw = b"0000" if r["line"] is None else b"%04x" % (len(r["line"].encode()) + 4) + r["line"].encode()
+        assert bytes(r["packet"]) == raw
+    got = packets.decode_messages(sent.drop("line").withColumn("n", F.lit(1)))
+    assert sorted(map(str, ((r["type"], r["oid"], r["detail"]) for r in got.collect()))) == sorted(str(r[:3]) for r in rows)
+    with pytest.raises(Exception, match="no line for update"):
+        packets.encode_messages(df.drop("old")).collect()
+
+
+def test_what_a_step_wrote_on_its_way_goes(spark):
+    made = []
+
+    def step():
+        part = runtime.materialize(spark.range(5), "part")
+        made.extend(part.inputFiles())
+        return part.where("id > 1")
+
+    def outer():
+        inner = runtime.written(spark, step, "inner")
+        made.extend(inner.inputFiles())
+        return inner
+
+    df = runtime.written(spark, outer, "outer")
+    assert sorted(r["id"] for r in df.collect()) == [2, 3, 4]
+    assert made and not any(pathlib.Path(f.removeprefix("file://")).exists() for f in made)

@@ -10,12 +10,14 @@ the middle of its words lies within the rest, so that a source ends within half
 
 The middles grow along the order, so what a source takes of its rest is a prefix, given by one place in the order.
 To find it no source is sorted in one task: keys fall into buckets by their own value, running sums over bucket
-totals (one row for each source and bucket) find the bucket where the rest ends, and only that one is sorted.
+totals (one row for each source and bucket) find the bucket where the rest ends, and only that one is sorted. Buckets are even
+whatever the weights: a source's weights are counted in classes, a quarter of an octave wide, and a key's bucket is its place in
+the distribution that exponential keys with these weights have.
 Documents then compare their own place with that of their source; texts are never shuffled.
 
 Defined cases: a null text has size 0 and is never taken; null sources form one source; documents that
 share an id are ordered by size and a hash of their text, and equal rows are taken alike; a null id is a value like
-any other; empty tables give empty results.
+any other; a null, zero, negative or non-finite weight counts as the least, LEAST_WEIGHT; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import unused
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: Weights lie between this and its reciprocal, which makes 160 classes of weights at most.
+LEAST_WEIGHT = 2.0**-20
 #: Rows of a source that fall into one bucket, about.
 BUCKET_ROWS = 2_000
 #: Broadcast bucket totals up to so many rows (about 100 bytes each).
@@ -73,15 +77,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return df.select("source", "source_size", "weight", target.alias("target"))
 
 
-def keyed(docs: DataFrame, seed: str) -> list[Column]:
-    """Source, size and the parts of the order of a document."""
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
-    return [F.col("source"), size_of(F.col("text")).alias("size"), key.alias("key"), F.col("doc_id"), F.xxhash64("text").alias("text_key")]
+def usable(weight: Column) -> Column:
+    """The weight, within its bounds."""
+    w = weight.cast("double")
+    return F.when((w > LEAST_WEIGHT) & (w < float("inf")), F.least(w, F.lit(1 / LEAST_WEIGHT))).otherwise(F.lit(LEAST_WEIGHT))
 
 
-def bucket_of(key: Column, buckets: Column) -> Column:
-    """Grows with the key; about even for weights near 1."""
-    return F.least(F.floor((1 - F.exp(-key)) * buckets), buckets - 1).cast("int")
+def keyed(seed: str, weight: Column | None) -> list[Column]:
+    """Source, size and the parts of the order of a document, and the class of its weight."""
+    w = quality_weight(F.col("text")) if weight is None else usable(weight)
+    key = -F.log(uniform(F.col("doc_id"), seed)) / w
+    return [F.col("source"), size_of(F.col("text")).alias("size"), key.alias("key"), F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.rint(4 * F.log2(w)).cast("int").alias("weight_class")]
+
+
+def bucket_of(key: Column, buckets: Column, classes: Column) -> Column:
+    """Grows with the key; classes: an array of (w, share), the weights of the source and their shares of its rows."""
+    below = F.aggregate(classes, F.lit(0.0), lambda held, c: held + c["share"] * (1 - F.exp(-key * c["w"])))
+    return F.least(F.floor(below * buckets), buckets - 1).cast("int")
 
 
 def place(row: str) -> Column:
@@ -97,15 +109,19 @@ def small(df: DataFrame) -> DataFrame:
 def cutoffs(rows: DataFrame) -> DataFrame:
     """rows: written keyed() columns. For each source: source_size, target, epochs, and the place up to which the fractional
     part takes documents: all buckets before ``last``, and in that one the places up to ``cut``."""
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    held = rows.groupBy("source", "weight_class").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    seen = F.sort_array(F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("weight_class") / 4).alias("w"), "n")))  # a row for each class
+    sources = held.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), seen.alias("seen"))
+    shares = F.transform("seen", lambda c: F.struct(c["w"].alias("w"), (c["n"] / F.col("n")).alias("share")))
+    sources = sources.select("source", "source_size", "n", shares.alias("classes"))
     number_of_sources = sources.count()
     goal = targets(sources.select("source", "source_size"))
     number = F.least(F.lit(1 << 20), F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS))).cast("int")
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
-    goal = goal.alias("g").join(sources.select("source", number.alias("buckets")).alias("s"), F.expr("g.source <=> s.source")).select("g.*", "s.buckets")
+    goal = goal.alias("g").join(sources.select("source", number.alias("buckets"), "classes").alias("s"), F.expr("g.source <=> s.source")).select("g.*", "s.buckets", "s.classes")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") >= MAX_EPOCHS, F.lit(0.0)).otherwise(F.col("target") - F.col("epochs") * F.col("source_size")))
     goal = small(materialize(goal, "mix-sources", number_of_sources))
-    dealt = rows.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source")).select("r.*", bucket_of(F.col("r.key"), F.col("g.buckets")).alias("bucket"), "g.rest")
+    dealt = rows.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source")).select("r.*", bucket_of(F.col("r.key"), F.col("g.buckets"), F.col("g.classes")).alias("bucket"), "g.rest")
     totals = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("base", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
@@ -116,30 +132,31 @@ def cutoffs(rows: DataFrame) -> DataFrame:
     close = close.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).where(2 * F.col("before") + F.col("size") <= 2 * F.col("rest"))
     cut = close.alias("c").groupBy("source").agg(F.max(place("c")).alias("cut"))
     out = goal.alias("g").join(border.alias("b"), F.expr("g.source <=> b.source"), "left").join(cut.alias("c"), F.expr("g.source <=> c.source"), "left")
-    return out.select("g.source", "g.source_size", "g.target", "g.epochs", "g.buckets", F.coalesce("b.last", F.lit(-1)).alias("last"), "c.cut")
+    return out.select("g.source", "g.source_size", "g.target", "g.epochs", "g.buckets", "g.classes", F.coalesce("b.last", F.lit(-1)).alias("last"), "c.cut")
 
 
 def copies(row: str, cut: str) -> Column:
     """How often the mix takes a document."""
-    bucket = bucket_of(F.col(f"{row}.key"), F.col(f"{cut}.buckets"))
+    bucket = bucket_of(F.col(f"{row}.key"), F.col(f"{cut}.buckets"), F.col(f"{cut}.classes"))
     last = F.col(f"{cut}.last")
     extra = (bucket < last) | ((bucket == last) & F.coalesce(place(row) <= F.col(f"{cut}.cut"), F.lit(False)))
     return F.when(F.col(f"{row}.size") > 0, F.col(f"{cut}.epochs") + extra.cast("long")).otherwise(0).cast("long")
 
 
-def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), a row for each document; texts are read once."""
-    rows = materialize(docs.select(*keyed(docs, seed)), "mix-keys")
+def plan(docs: DataFrame, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), a row for each document; texts are read once. weight: a column of docs
+    that grows with a document's quality; without it quality_weight() of the text."""
+    rows = materialize(docs.select(*keyed(seed, weight)), "mix-keys")
     cuts = small(materialize(cutoffs(rows), "mix-cutoffs", rows.select("source").distinct().count()))
     taken = copies("r", "c") * F.col("r.size")
     return rows.alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source")).select("r.doc_id", "r.size", "c.source_size", "c.target", taken.alias("taken"))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; texts are read twice and not shuffled."""
-    keys = materialize(docs.select(*keyed(docs, seed)), "mix-keys")
+def mix(docs: DataFrame, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; texts are read twice and not shuffled. weight as in plan()."""
+    keys = materialize(docs.select(*keyed(seed, weight)), "mix-keys")
     cuts = small(materialize(cutoffs(keys), "mix-cutoffs", keys.select("source").distinct().count()))
     k, n = unused("mix_key", docs), unused("mix_copy", docs)
-    rows = docs.withColumn(k, F.struct(*keyed(docs, seed))).alias("d").join(cuts.alias("c"), F.expr(f"d.`{k}`.source <=> c.source"))
+    rows = docs.withColumn(k, F.struct(*keyed(seed, weight))).alias("d").join(cuts.alias("c"), F.expr(f"d.`{k}`.source <=> c.source"))
     each = rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col(n) <= copies(f"d.{k}", "c"))
     return each.select(*[F.col(f"d.`{c}`") for c in docs.columns])

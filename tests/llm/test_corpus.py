@@ -160,6 +160,26 @@ def test_weights_decide_who_is_taken(spark):
     assert mean[0] > mean[1]
 
 
+def test_any_weights_give_even_buckets_and_one_mix(spark, monkeypatch):
+    """Few buckets or many, the same documents are taken, and no bucket holds many of a source whose weights differ by much."""
+    rows = [(i, "w " * (1 + i % 7), "s" if i % 5 else "t", [1.0, 0.05, 0.001, 40.0, None, 0.0, -1.0, float("nan"), float("inf")][i % 9 if i < 900 else i % 2]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, good double").repartition(3)
+    first = None
+    for size in (10_000, 100):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", size)
+        got = sorted(map(tuple, mixing.plan(df, weight=F.col("good")).collect()))
+        assert first in (None, got)
+        first = got
+    keys = df.select(*mixing.keyed(mixing.SEED, F.col("good"))).cache()
+    cuts = mixing.cutoffs(keys)
+    filled = keys.alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source")).groupBy("r.source", mixing.bucket_of(F.col("r.key"), F.col("c.buckets"), F.col("c.classes")).alias("b")).count().collect()
+    assert len(filled) > 50 and max(r["count"] for r in filled) < 200
+    taken = {r[0]: r[4] / r[1] for r in first}
+    mean = lambda rest: sum(taken[i] for i in range(900, 6000) if i % 2 == rest and i % 5) / sum(1 for i in range(900, 6000) if i % 2 == rest and i % 5)
+    assert mean(0) > mean(1)
+    assert mixing.mix(df, weight=F.col("good")).columns == df.columns
+
+
 # Near duplicates
 
 

@@ -1,7 +1,7 @@
 """A corpus from raw documents to token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder
-and hands the reread table to the next stage. All but the last return the columns of documents; the last returns the token ids of each
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder, deletes what
+the stage wrote on its way, and hands the reread table to the next stage. All but the last return the columns of documents; the last returns the token ids of each
 row that the mix takes, as little-endian unsigned 32-bit integers, with their number and digests. Rows of one document lie
 together after the mix and are encoded once.
 
@@ -13,13 +13,14 @@ those with the smallest id go; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakgraph.llm import bpe, mixing, near_dups, pii, quality
-from oakgraph.runtime import materialize, small_batches, table
+from oakgraph.runtime import small_batches, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,5 +68,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(spark, partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

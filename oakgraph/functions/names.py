@@ -56,6 +56,14 @@ def parse_endpoint(url: Column) -> Column:
     )
 
 
+def print_endpoint(e: Column) -> Column:
+    """The text of what parse_endpoint() gives, in its full form, without the password; null without a host."""
+    user = F.coalesce(F.concat(e["user"], F.lit("@")), F.lit(""))
+    port = F.coalesce(F.concat(F.lit(":"), e["port"].cast("string")), F.lit(""))
+    path = F.when(F.startswith(e["path"], F.lit("/")), e["path"]).otherwise(F.concat(F.lit("/"), e["path"]))
+    return F.concat(e["scheme"], F.lit("://"), user, e["host"], port, path)
+
+
 def basic_auth(user: Column, password: Column) -> Column:
     """The Authorization header's value, or null without a user."""
     return F.when(user.isNotNull(), F.concat(F.lit("Basic "), F.base64(F.encode(F.concat_ws(":", user, F.coalesce(password, F.lit(""))), "UTF-8"))))
@@ -79,6 +87,11 @@ def ack_level(shared: Column) -> Column:
     return F.when(F.array_contains(shared, "multi_ack_detailed"), "detailed").when(F.array_contains(shared, "multi_ack"), "multi").otherwise("none")
 
 
+def no_done(shared: Column, stateless: bool = False) -> Column:
+    """Whether the other side may send without a final done: if both know no-done, and without a connection in any case."""
+    return F.lit(True) if stateless else F.array_contains(shared, "no-done")
+
+
 def stage(flags: Column) -> Column:
     return F.shiftright(flags.bitwiseAND(F.lit(0x3000)), 12)
 
@@ -89,6 +102,7 @@ def flag(flags: Column, mask: int) -> Column:
 
 SKIP_WORKTREE, INTENT_TO_ADD = 0x4000, 0x2000
 ASSUME_VALID, EXTENDED = 0x8000, 0x4000
+STAGES, NAME_LENGTH = 0x3000, 0xFFF
 
 
 def entry_mode(kind: Column, executable: Column) -> Column:

@@ -459,6 +459,12 @@ def endpoint_parse(spark, sf):
     return table(spark, sf, "pages").select("page_id", N.parse_endpoint(F.col("url")).alias("e")).select("page_id", "e.scheme", "e.host", "e.path")
 
 
+@query("SELECT page_id, regexp_replace(url, '^([a-z]+)://([^/]+)$', '\\1://\\2/') AS printed FROM pages WHERE url IS NOT NULL")
+def endpoint_print(spark, sf):
+    """Addresses taken apart and put together again."""
+    return table(spark, sf, "pages").where("url is not null").select("page_id", N.print_endpoint(N.parse_endpoint(F.col("url"))).alias("printed"))
+
+
 ADVERTISED = f"""{HEADS}, advertised AS (SELECT name, oid, false AS peeled FROM heads UNION ALL SELECT 'refs/tags/t' || s_suppkey, 'e' || s_suppkey, false FROM supplier UNION ALL SELECT 'refs/tags/t' || s_suppkey, 'e' || (s_suppkey + 1), true FROM supplier)"""
 
 
@@ -659,6 +665,20 @@ def loose_round_trip(spark, sf):
     return files.loose_objects(spark, root).select("oid", "kind", "size")
 
 
+@query(f"""WITH {B}, s AS (SELECT 'part-' || substr(sha1('d' || doc_id), 1, 2) AS file, source || '/' || lang || '/doc' || doc_id AS path, oid, size, doc_id FROM blobs)
+SELECT file, path, 33188::INTEGER AS mode, (least(length(path), 4095) + CASE WHEN doc_id % 5 = 0 THEN 16384 ELSE 0 END)::INTEGER AS flags, CASE WHEN doc_id % 5 = 0 THEN 8192 ELSE 0 END::INTEGER AS extended, oid, size FROM s""")
+def staging_round_trip(spark, sf):
+    """Documents staged in files dealt by a hash of their numbers, one in five as intended, written and read back."""
+    key = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    extended = F.when(F.col("doc_id") % 5 == 0, F.lit(N.INTENT_TO_ADD)).otherwise(F.lit(0))
+    mode = N.entry_mode(F.lit("file"), F.lit(False)).cast("int")
+    rows = model.blobs(spark, sf).select(F.concat(F.lit("part-"), F.substring(F.sha1(key), 1, 2)).alias("file"), path.alias("path"), mode.alias("mode"), F.lit(0).alias("flags"), extended.alias("extended"), "oid", "size", F.lit(0).cast("long").alias("mtime"))
+    root = work_path(spark, "staged")
+    files.write_staging(rows, root)
+    return files.staging_files(spark, root).select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "path", "mode", "flags", "extended", "oid", "size")
+
+
 @query("SELECT 'refs/heads/u' || user_id AS name, sha1('e' || max(event_id)) AS oid, CASE WHEN user_id % 3 = 0 THEN sha1('e' || min(event_id)) ELSE '' END AS peeled_oid FROM events GROUP BY user_id")
 def packed_refs_scan(spark, sf):
     """References written as text, with peeled lines, and read back."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import objects as O
+from ..runtime import materialize
 
 
 def _binary(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -109,11 +111,15 @@ def tree_entries(trees: DataFrame, digest_size: int = 20) -> DataFrame:
     return trees.select("tree", "payload").mapInArrow(run, ENTRY).withColumn("perm", O.permission(F.col("perm")))
 
 
-STAGED = "file string, path string, mode int, flags int, oid string, size long, mtime long"
+STAGED = "file string, path string, mode int, flags int, extended int, oid string, size long, mtime long"
+STAGED_SCHEMA = pa.schema([("file", pa.string()), ("path", pa.string()), ("mode", pa.int32()), ("flags", pa.int32()), ("extended", pa.int32()), ("oid", pa.string()), ("size", pa.int64()), ("mtime", pa.int64())])
 
 
 def staging_files(spark: SparkSession, path: str) -> DataFrame:
-    """STAGED entries of staging files of version 2 or 3: `DIRC`, version, number, entries padded to eight bytes, checksum."""
+    """STAGED entries of staging files of version 2 or 3: `DIRC`, version, number, entries padded to eight bytes, checksum.
+
+    extended: the second flag word that version 3 may have, else 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,15 +130,87 @@ def staging_files(spark: SparkSession, path: str) -> DataFrame:
                 rows, at = [], 12
                 for _ in range(number):
                     f = struct.unpack_from(">10I20sH", data, at)
-                    start = at + 62 + (2 if version == 3 and f[11] & N.EXTENDED else 0)
+                    more = version == 3 and f[11] & N.EXTENDED
+                    start = at + 62 + (2 if more else 0)
                     end = data.index(b"\x00", start)
-                    rows.append({"file": file, "path": data[start:end].decode(), "mode": f[6], "flags": f[11], "oid": f[10].hex(), "size": f[9], "mtime": f[2]})
+                    extended = struct.unpack_from(">H", data, at + 62)[0] if more else 0
+                    rows.append({"file": file, "path": data[start:end].decode(), "mode": f[6], "flags": f[11], "extended": extended, "oid": f[10].hex(), "size": f[9], "mtime": f[2]})
                     at += (end - at) // 8 * 8 + 8
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("path", pa.string()), ("mode", pa.int32()), ("flags", pa.int32()), ("oid", pa.string()), ("size", pa.int64()), ("mtime", pa.int64())]))
+                    if len(rows) == ENTRY_ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, STAGED_SCHEMA)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, STAGED_SCHEMA)
 
     return _binary(spark, path).select("path", "content").mapInArrow(run, STAGED)
 
 
+def staged_bytes(path: str, mode: int, flags: int, extended: int, oid: str, size: int, mtime: int) -> bytes:
+    """An entry as a staging file has it; fields that STAGED lacks are 0."""
+    name = path.encode()
+    if b"\x00" in name:
+        raise ValueError(f"NUL in the path {path!r}")
+    flags = flags & (N.ASSUME_VALID | N.STAGES) | (N.EXTENDED if extended else 0) | min(len(name), N.NAME_LENGTH)
+    entry = struct.pack(">10I20sH", 0, 0, mtime & 0xFFFFFFFF, 0, 0, 0, mode, 0, 0, size & 0xFFFFFFFF, bytes.fromhex(oid), flags)
+    entry += (struct.pack(">H", extended) if extended else b"") + name
+    return entry + bytes(8 - len(entry) % 8)
+
+
+class _StagingFile:
+    """A staging file as it is written: what passes by is digested, the digest ends the file, and it gets its name at the end."""
+
+    def __init__(self, store: pafs.FileSystem, base: str, file: str, version: int, number: int):
+        self.store, self.target, self.file, self.version, self.number = store, f"{base}/{file}", file, version, number
+        folder = self.target.rpartition("/")[0]
+        store.create_dir(folder, recursive=True)
+        self.draft = f"{folder}/_tmp-{uuid.uuid4().hex}"
+        self.out, self.digest = store.open_output_stream(self.draft), hashlib.sha1()
+        self.add(struct.pack(">4sII", b"DIRC", version, number))
+
+    def add(self, data: bytes) -> None:
+        self.digest.update(data)
+        self.out.write(data)
+
+    def close(self) -> dict:
+        self.out.write(self.digest.digest())
+        self.out.close()
+        self.store.move(self.draft, self.target)
+        return {"file": self.file, "version": self.version, "number": self.number, "checksum": self.digest.hexdigest()}
+
+
+def write_staging(entries: DataFrame, root: str) -> DataFrame:
+    """Write entries (STAGED) as staging files below root, one for each file; returns (file, version, number, checksum) of what was written.
+
+    Entries are in the order of their paths' bytes, then stages; version 3 if one has extended flags, else 2. The length in the flags is that of
+    the path. A file is one digest, so one task writes it, entry by entry in little memory. Nulls in extended, flags, size and mtime are 0;
+    without file, path, mode or oid an error is raised. Files get their names by renaming, so a task that runs again writes the same.
+    """
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("flags", "extended", "size", "mtime")]
+    needed = [F.coalesce(c, F.raise_error(F.lit(f"an entry without {c}")).cast(kind)).alias(c) for c, kind in (("file", "string"), ("path", "string"), ("mode", "int"), ("oid", "string"))]
+    rows = entries.select(*needed, *zero)
+    heads = rows.groupBy("file").agg(F.count(F.lit(1)).alias("number"), F.when(F.max("extended") > 0, 3).otherwise(2).alias("version"))
+    columns = ("path", "mode", "flags", "extended", "oid", "size", "mtime")
+    placed = rows.join(heads, "file").repartition("file").sortWithinPartitions("file", F.encode("path", "UTF-8"), N.stage(F.col("flags")))
+    schema = pa.schema([("file", pa.string()), ("version", pa.int32()), ("number", pa.int64()), ("checksum", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(root)
+        out = None
+        for batch in batches:
+            done = []
+            for file, version, number, *entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or out.file != file:
+                    if out is not None:
+                        done.append(out.close())
+                    out = _StagingFile(store, base, file, version, number)
+                out.add(staged_bytes(*entry))
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if out is not None:
+            yield pa.RecordBatch.from_pylist([out.close()], schema)
+
+    written = placed.select("file", "version", "number", *columns).mapInArrow(run, "file string, version int, number long, checksum string")
+    return materialize(written, "staging")
+
+
 def packet_captures(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, packet): the packets of captured byte streams, flushes as `0000`; a capture that ends within a packet raises an error."""
 

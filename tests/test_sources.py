@@ -36,6 +36,58 @@ def test_staging_file(spark, tmp_path, version):
     assert [r["stage"] for r in got] == [0, 0 if version == 3 else 1, 2]
 
 
+def test_staging_files_round_trip(spark, tmp_path):
+    oid, long = O.EMPTY_BLOB, "y" * 5000
+    rows = [
+        ("a/index", "b", 0o100644, N.ASSUME_VALID, 0, oid, 5, 7),
+        ("a/index", "é", 0o100755, 0x2000, 0, oid, None, None),
+        ("a/index", "b", 0o100644, 0x1000, 0, oid, 2**32 + 1, 1),
+        ("other", long, 0o120000, 0, N.SKIP_WORKTREE, oid, 1, 1),
+        ("other", "B", 0o160000, 0, None, oid, 1, 1),
+    ]
+    written = files.write_staging(spark.createDataFrame(rows, files.STAGED).repartition(3), str(tmp_path)).orderBy("file").collect()
+    assert [(r["file"], r["version"], r["number"]) for r in written] == [("a/index", 2, 3), ("other", 3, 2)]
+    for r in written:
+        data = (tmp_path / r["file"]).read_bytes()
+        assert data[-20:].hex() == r["checksum"] == hashlib.sha1(data[:-20]).hexdigest()
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and p.suffix != ".crc") == ["index", "other"]
+    got = lambda f: [tuple(r)[1:] for r in files.staging_files(spark, str(tmp_path / f)).collect()]
+    assert got("a") == [("b", 0o100644, N.ASSUME_VALID | 1, 0, oid, 5, 7), ("b", 0o100644, 0x1001, 0, oid, 1, 1), ("é", 0o100755, 0x2002, 0, oid, 0, 0)]
+    assert got("other") == [("B", 0o160000, 1, 0, oid, 1, 1), (long, 0o120000, N.EXTENDED | 0xFFF, N.SKIP_WORKTREE, oid, 1, 1)]
+
+
+def test_staging_file_as_built_by_hand(spark, tmp_path):
+    rows = [("index", "a", 0o100644, 0, 0, O.EMPTY_BLOB, 9, 3), ("index", "dir/file2", 0o100755, 0x1000, N.INTENT_TO_ADD, O.EMPTY_BLOB, 9, 3)]
+    files.write_staging(spark.createDataFrame(rows, files.STAGED), str(tmp_path))
+    data = b"DIRC" + struct.pack(">II", 3, 2)
+    for _, path, mode, flags, extended, oid, size, mtime in rows:
+        one = bytes(8) + struct.pack(">I", mtime) + bytes(12) + struct.pack(">I", mode) + bytes(8) + struct.pack(">I", size) + bytes.fromhex(oid)
+        one += struct.pack(">H", flags | (N.EXTENDED if extended else 0) | len(path)) + (struct.pack(">H", extended) if extended else b"") + path.encode()
+        data += one + bytes(8 - len(one) % 8)
+    assert (tmp_path / "index").read_bytes() == data + hashlib.sha1(data).digest()
+
+
+def test_staging_files_of_no_and_of_broken_entries(spark, tmp_path):
+    none = spark.createDataFrame([], files.STAGED)
+    assert files.write_staging(none, str(tmp_path)).count() == 0
+    for path, message in ((None, "without path"), ("a\0b", "NUL in the path")):
+        rows = spark.createDataFrame([("index", path, 0o100644, 0, 0, O.EMPTY_BLOB, 1, 1)], files.STAGED)
+        with pytest.raises(Exception, match=message):
+            files.write_staging(rows, str(tmp_path))
+
+
+def test_who_may_leave_out_done(spark):
+    rows = spark.createDataFrame([(["no-done", "multi_ack"],), (["multi_ack"],)], "shared array<string>")
+    got = rows.select(N.no_done(F.col("shared")), N.no_done(F.col("shared"), stateless=True)).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, True)]
+
+
+def test_endpoints_are_printed(spark):
+    urls = ["ssh://git@host:22/a/b", "git@host:a/b.git", "HTTP://host", "https://u:secret@h/x", "no address"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(N.print_endpoint(N.parse_endpoint(F.col("u"))).alias("p")).collect()
+    assert [r["p"] for r in got] == ["ssh://git@host:22/a/b", "ssh://git@host/a/b.git", "http://host/", "https://u@h/x", None]
+
+
 def test_damaged_staging_file(spark, tmp_path):
     (tmp_path / "index").write_bytes(staging_file([("a", 0o100644, 0, O.EMPTY_BLOB)])[:-1] + b"!")
     with pytest.raises(Exception, match="no whole staging file"):

@@ -187,9 +187,12 @@ def write_staging(entries: DataFrame, root: str) -> DataFrame:
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("flags", "extended", "size", "mtime")]
     needed = [F.coalesce(c, F.raise_error(F.lit(f"an entry without {c}")).cast(kind)).alias(c) for c, kind in (("file", "string"), ("path", "string"), ("mode", "int"), ("oid", "string"))]
     rows = entries.select(*needed, *zero)
-    heads = rows.groupBy("file").agg(F.count(F.lit(1)).alias("number"), F.when(F.max("extended") > 0, 3).otherwise(2).alias("version"))
+    order = F.encode("path", "UTF-8"), N.stage(F.col("flags"))
+    whole = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     columns = ("path", "mode", "flags", "extended", "oid", "size", "mtime")
-    placed = rows.join(heads, "file").repartition("file").sortWithinPartitions("file", F.encode("path", "UTF-8"), N.stage(F.col("flags")))
+    # The window keeps a file in one task. A repartition by file would be dropped after a join by file, and the join's own exchange may be read in pieces.
+    rows = rows.withColumns({"number": F.count(F.lit(1)).over(whole), "version": F.when(F.max("extended").over(whole) > 0, 3).otherwise(2)})
+    placed = rows.sortWithinPartitions("file", *order)
     schema = pa.schema([("file", pa.string()), ("version", pa.int32()), ("number", pa.int64()), ("checksum", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,25 @@ def test_staging_files_round_trip(spark, tmp_path):
     assert got("other") == [("B", 0o160000, 1, 0, oid, 1, 1), (long, 0o120000, N.EXTENDED | 0xFFF, N.SKIP_WORKTREE, oid, 1, 1)]
 
 
+def test_staging_files_of_many_entries_are_whole(spark, tmp_path):
+    """Entries enough for several tasks, and few files: a join with them would be turned into a broadcast, and files dealt to several tasks."""
+    spark.range(0, 40_000, 1, 8).write.parquet(f"{tmp_path}/in")
+    name = F.concat(F.lit("part-"), (F.col("id") % 7).cast("string"))
+    path = F.concat(F.lit("d/"), F.sha1(F.col("id").cast("string")))
+    rows = spark.read.parquet(f"{tmp_path}/in").select(name.alias("file"), path.alias("path"), F.lit(0o100644).alias("mode"), F.lit(0).alias("flags"), F.lit(0).alias("extended"), F.sha1(F.col("id").cast("string")).alias("oid"), F.col("id").alias("size"), F.lit(0).cast("long").alias("mtime"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        written = files.write_staging(rows, f"{tmp_path}/out").collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert sorted(r["file"] for r in written) == [f"part-{i}" for i in range(7)] and sum(r["number"] for r in written) == 40_000
+    got = files.staging_files(spark, f"{tmp_path}/out")
+    assert got.select("path", "oid", "size").exceptAll(rows.select("path", "oid", "size")).isEmpty() and got.count() == 40_000
+
+
 def test_staging_file_as_built_by_hand(spark, tmp_path):
     rows = [("index", "a", 0o100644, 0, 0, O.EMPTY_BLOB, 9, 3), ("index", "dir/file2", 0o100755, 0x1000, N.INTENT_TO_ADD, O.EMPTY_BLOB, 9, 3)]
     files.write_staging(spark.createDataFrame(rows, files.STAGED), str(tmp_path))

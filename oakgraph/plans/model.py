@@ -25,18 +25,18 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
     return blobs(spark, sf).select(path.alias("path"), F.lit("100644").alias("perm"), F.col("oid").alias("node"))
 
 
-def star(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges (src, dst, kind)."""
+def star(spark: SparkSession, sf: str, repeats: bool = False) -> DataFrame:
+    """Edges (src, dst, kind); with repeats, those of lines as often as there are such lines, which does no harm to a walk and needs no shuffle."""
     t = lambda n: table(spark, sf, n)
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
-    lines = t("lineitem")
+    lines = lambda *c: t("lineitem").select(*c) if repeats else t("lineitem").select(*c).distinct()
     return (
         edge(t("nation"), key("r", "n_regionkey"), key("n", "n_nationkey"), "nation")
         .unionAll(edge(t("customer"), key("n", "c_nationkey"), key("c", "c_custkey"), "customer"))
         .unionAll(edge(t("orders"), key("c", "o_custkey"), key("o", "o_orderkey"), "order"))
-        .unionAll(edge(lines, key("o", "l_orderkey"), key("p", "l_partkey"), "part").distinct())
-        .unionAll(edge(lines, key("o", "l_orderkey"), key("s", "l_suppkey"), "supplier").distinct())
+        .unionAll(edge(lines("l_orderkey", "l_partkey"), key("o", "l_orderkey"), key("p", "l_partkey"), "part"))
+        .unionAll(edge(lines("l_orderkey", "l_suppkey"), key("o", "l_orderkey"), key("s", "l_suppkey"), "supplier"))
     )
 
 

@@ -90,6 +90,69 @@ def test_walks_merge_what_they_saw(spark, monkeypatch, pieces):
     assert cut == {"n5": False, "n6": False, "n7": False, "n8": True}
 
 
+def plans_of_steps(monkeypatch):
+    """The plans of the tables that graph queries write, as they are written, by label."""
+    plans = []
+
+    def noted(df, label, *rest):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return runtime.materialize(df, label, *rest)
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    return plans
+
+
+DAG = [("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d1"), ("c", "d2"), ("d1", "e"), ("x", "d2"), ("x", "x1")]
+
+
+def test_levels_of_what_has_edges(spark, monkeypatch):
+    plans = plans_of_steps(monkeypatch)
+    df = runtime.materialize(spark.createDataFrame(DAG, "src string, dst string"), "dag")
+    got = {r["node"]: r["level"] for r in graph.topological_levels(df).collect()}
+    assert got == {"a": 0, "x": 0, "b": 1, "x1": 1, "c": 2, "d1": 3, "d2": 3, "e": 4}
+    # a step reads the edges that may leave its nodes, and makes its targets distinct, not the edges as well
+    steps = [p for label, p in plans if label == "levels"][1:]
+    assert len(steps) == 5 and all(p.count("Aggregate") == 1 and p.count("src#") and ">= " in p and "<= " in p for p in steps)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.topological_levels(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "src string, dst string"))
+    assert graph.topological_levels(df.limit(0)).count() == 0
+
+
+def test_closure_without_a_store_takes_all_as_present(spark, monkeypatch):
+    plans = plans_of_steps(monkeypatch)
+    df = runtime.materialize(spark.createDataFrame(DAG, "src string, dst string"), "dag")
+    node = lambda *ns: spark.createDataFrame([(n,) for n in ns], "node string")
+    nodes, turned = graph.closure(df, None, node("c", "lone"), node("a"))
+    assert sorted(r["node"] for r in nodes.collect()) == ["a", "b", "c", "lone"]
+    assert sorted(map(tuple, turned.collect())) == [("b", "a"), ("c", "a"), ("c", "b")]
+    assert graph.closure(df, None, node("c"), node("a"), inside=False)[1] is None
+    # what is low, and whether it is there, is looked up once, and not by each step of the walk
+    plans.clear()
+    present = spark.range(1).select(F.explode(F.array(*map(F.lit, "abcxe"))).alias("node"))
+    nodes, turned = graph.closure(df, present, node("c", "lone"), node("a", "d1"))
+    assert sorted(r["node"] for r in nodes.collect()) == ["a", "b", "c"]
+    assert sorted(map(tuple, turned.collect())) == [("b", "a"), ("c", "a"), ("c", "b")]
+    steps = [p for label, p in plans if label in ("reach", "met")][1:]
+    assert len(steps) >= 4 and not any("Generate" in p for p in steps)
+
+
+def test_limits_meet_only_the_edges_of_the_walk(spark, monkeypatch):
+    plans = plans_of_steps(monkeypatch)
+    df = runtime.materialize(spark.createDataFrame(DAG, "src string, dst string"), "dag")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    cut = graph.deepen_not(df, one("a"), one("x"))
+    assert {r["node"]: r["shallow"] for r in cut.collect()} == {"a": False, "b": False, "c": True, "d1": False, "e": False}
+    assert "dag-" not in "".join(cut.inputFiles()) and any(label == "met" for label, _ in plans)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_walks_of_edges_that_repeat_and_of_nodes_of_any_type(spark, keep):
+    df = spark.createDataFrame([(1, 20), (1, 20), (20, 3), (3, 1), (20, 400), (7, 8)], "src long, dst long")
+    nodes, met = graph.walk(df, spark.createDataFrame([(1,)], "node long"), keep=keep)
+    assert sorted(map(tuple, nodes.collect())) == [(1, 0), (3, 2), (20, 1), (400, 2)]
+    assert met is None if not keep else sorted(map(tuple, met.distinct().collect())) == [(1, 20), (3, 1), (20, 3), (20, 400)]
+
+
 def test_merged_pieces_stay_few(spark, monkeypatch):
     monkeypatch.setattr(graph, "PIECES", 3)
     one = spark.createDataFrame([("a",)], "node string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,28 +19,37 @@ def layered(loose: DataFrame, packed: DataFrame) -> DataFrame:
     return both.select("name", oid.alias("oid"), "ref", F.when(F.col("own"), F.lit("loose")).otherwise(F.lit("packed")).alias("layer"))
 
 
+#: Rows that may go to all executors while references are followed; more are shuffled.
+BROADCAST_ROWS = 100_000
+
+
 def resolve(refs: DataFrame) -> DataFrame:
     """(name, oid, hops, state): refs (name, oid, ref) followed to an object; state is ok, missing or cycle.
 
-    Each step doubles the distance followed, so a chain of n references takes log2(n) joins; what is open after as many
-    hops as there are references is a cycle.
+    Each step doubles the distance followed, so a chain of n references takes log2(n) joins, and reads what is open alone against all. A step that
+    ends nowhere new tells that the rest are cycles: a longer chain would have names at each distance from its end.
     """
     held = refs.select("name", F.col("ref").alias("at"), "oid", F.when(F.col("ref").isNull(), 0).otherwise(1).alias("hops"))
     held = materialize(held, "refs")
-    span, most = 1, held.count()
-    while span <= most:
-        ahead = held.select(F.col("name").alias("at"), F.col("at").alias("next"), F.col("oid").alias("next_oid"), F.col("hops").alias("more"), F.lit(True).alias("there"))
-        moved = held.join(ahead, "at", "left")
+    done, fresh = held.where("at is null"), held.where("at is not null")
+    ended, span, most, left = [done], 1, held.count(), fresh.count()
+    while left and span <= most:
+        ahead = reduce(DataFrame.unionAll, [*ended, fresh])
+        ahead = ahead.select(F.col("name").alias("at"), F.col("at").alias("next"), F.col("oid").alias("next_oid"), F.col("hops").alias("more"), F.lit(True).alias("there"))
+        if left <= BROADCAST_ROWS:
+            ahead = ahead.join(F.broadcast(fresh.select("at")), "at", "left_semi")
+        moved = fresh.join(ahead if left <= BROADCAST_ROWS else ahead.hint("merge"), "at", "left")
         hit = F.col("there").isNotNull()
-        held = materialize(
-            moved.select("name", F.when(hit, F.col("next")).otherwise(F.col("at")).alias("at"), F.coalesce("oid", "next_oid").alias("oid"), (F.col("hops") + F.when(hit, F.col("more")).otherwise(0)).alias("hops")), "refs"
-        )
-        span *= 2
-        if held.where("at is not null").isEmpty():
+        moved = moved.select("name", F.when(hit, F.col("next")).alias("at"), F.coalesce("oid", "next_oid").alias("oid"), (F.col("hops") + F.when(hit, F.col("more")).otherwise(0)).alias("hops"))
+        moved = materialize(moved, "refs")
+        ended.append(moved.where("at is null"))
+        fresh, span, before = moved.where("at is not null"), span * 2, left
+        left = fresh.count()
+        if left == before and fresh.where("oid is not null").isEmpty():
             break
-    names = refs.select(F.col("name").alias("at"), F.lit(True).alias("there"))
-    state = F.when(F.col("oid").isNotNull(), F.lit("ok")).when(F.col("there"), F.lit("cycle")).otherwise(F.lit("missing"))
-    return held.join(names, "at", "left").select("name", "oid", F.when(F.col("oid").isNotNull(), F.col("hops")).alias("hops"), state.alias("state"))
+    state = lambda other: F.when(F.col("oid").isNotNull(), F.lit("ok")).otherwise(F.lit(other))
+    rows = reduce(DataFrame.unionAll, [*(df.withColumn("state", state("missing")) for df in ended), fresh.withColumn("state", state("cycle"))])
+    return rows.select("name", "oid", F.when(F.col("oid").isNotNull(), F.col("hops")).alias("hops"), "state")
 
 
 def upsert(refs: DataFrame, writes: DataFrame) -> DataFrame:

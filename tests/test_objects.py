@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from oakgraph import runtime
 from oakgraph.functions import names as N
 from oakgraph.functions import objects as O
 from oakgraph.operators import graph, refs, store, trees
@@ -133,3 +134,29 @@ def test_long_chains_of_references_are_no_cycles(spark):
     rows = [(f"r{i}", None, f"r{i + 1}") for i in range(100)] + [("r100", "x", None), ("c0", None, "c1"), ("c1", None, "c0"), ("lost", None, "nowhere")]
     got = {r["name"]: (r["oid"], r["hops"], r["state"]) for r in refs.resolve(spark.createDataFrame(rows, "name string, oid string, ref string")).collect()}
     assert got == {f"r{i}": ("x", 100 - i, "ok") for i in range(101)} | {"c0": (None, None, "cycle"), "c1": (None, None, "cycle"), "lost": (None, None, "missing")}
+
+
+def test_open_references_alone_are_followed_on(spark, monkeypatch):
+    steps = []
+
+    def noted(df, label, *rest):
+        out = runtime.materialize(df, label, *rest)
+        steps.append(out.count())
+        return out
+
+    monkeypatch.setattr(refs, "materialize", noted)
+    rows = [(f"c{i}", "id" if i == 0 else None, f"c{i - 1}" if i else None) for i in range(10)] + [(f"n{i}", None, f"n{(i + 1) % 5}") for i in range(5)]
+    rows += [("lost", None, "none"), ("to lost", None, "lost"), ("to circle", None, "n3"), ("nothing", None, None)] + [(f"plain{i}", f"id{i}", None) for i in range(200)]
+    got = {r["name"]: (r["oid"], r["hops"], r["state"]) for r in refs.resolve(spark.createDataFrame(rows, "name string, oid string, ref string")).collect()}
+    want = {f"c{i}": ("id", i, "ok") for i in range(10)} | {f"plain{i}": (f"id{i}", 0, "ok") for i in range(200)} | {f"n{i}": (None, None, "cycle") for i in range(5)} | {"to circle": (None, None, "cycle")}
+    assert got == want | dict.fromkeys(("lost", "to lost", "nothing"), (None, None, "missing"))
+    # distances up to 1, 3, 7 and 15 end; then one more step finds that the circle stays
+    assert steps == [219, 17, 15, 12, 8, 6]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_references_resolve_by_shuffle_and_by_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(refs, "BROADCAST_ROWS", most)
+    rows = [("a", "1", None), ("b", None, "a"), ("c", None, "b"), ("d", None, "c"), ("e", None, "e"), ("f", None, "gone"), ("g", None, "f")]
+    got = {r["name"]: (r["oid"], r["hops"], r["state"]) for r in refs.resolve(spark.createDataFrame(rows, "name string, oid string, ref string")).collect()}
+    assert got == {"a": ("1", 0, "ok"), "b": ("1", 1, "ok"), "c": ("1", 2, "ok"), "d": ("1", 3, "ok"), "e": (None, None, "cycle"), "f": (None, None, "missing"), "g": (None, None, "missing")}

@@ -7,6 +7,8 @@ alone, in Arrow batches, one small function for each layout.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,13 +28,64 @@ def _binary(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
 
+#: An object's file, with the folder that it is in.
+LOOSE = re.compile(r"/([0-9a-f]{2}/[0-9a-f]{38})$")
+#: Bytes of file contents that are handed on at once.
+LOOSE_BATCH = 4 << 20
+
+
+def _loose_folders(store: pafs.FileSystem, base: str) -> list[str]:
+    """The folders at or below base that may hold objects, by their names of two digits; what is below such a folder is not listed."""
+    todo, found = [base.rstrip("/")], []
+    while todo:
+        at = todo.pop()
+        if re.search(r"/[0-9a-f]{2}$", at):
+            found.append(at)
+        else:
+            todo += [f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.type == pafs.FileType.Directory and f.base_name[0] not in "._"]
+    return sorted(found)
+
+
+def _loose_contents(spark: SparkSession, root: str) -> DataFrame:
+    """(oid, content) of the files below root that have an object's name. Where tasks can open root themselves, each lists and reads some of its folders, so
+    that no list of all files is gathered and a task takes many small files; else by Spark's reader."""
+    try:
+        store, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+        folders = None if re.search(r"[*?{\[]", root) else _loose_folders(store, base)
+    except (OSError, ValueError):  # pa.ArrowInvalid is a ValueError
+        folders = None
+    if folders is None:
+        name = F.regexp_extract("path", LOOSE.pattern, 1)
+        return _binary(spark, root).where(name != "").select(F.replace(name, F.lit("/")).alias("oid"), "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["oid", "content"])
+        store = None
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store = store or pafs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")[0]
+                rows, held = [], 0
+                for f in store.get_file_info(pafs.FileSelector(folder, recursive=True)):
+                    name = LOOSE.search(f.path)
+                    if f.type != pafs.FileType.File or not name or re.search(r"/[._]", f.path[len(folder) :]):
+                        continue
+                    with store.open_input_stream(f.path) as file:
+                        rows.append((name[1].replace("/", ""), file.read()))
+                    held += len(rows[-1][1])
+                    if held >= LOOSE_BATCH:
+                        yield pack(rows)
+                        rows, held = [], 0
+                yield pack(rows)
+
+    parts = max(1, min(len(folders), 256))
+    return spark.createDataFrame([(f,) for f in folders], "folder string").repartition(parts).mapInArrow(read, "oid string, content binary")
+
+
 def loose_objects(spark: SparkSession, root: str) -> DataFrame:
     """(oid, kind, size, payload) of the compressed objects below root, named by two digits, a slash and the rest.
 
     Other files are passed over. A file that cannot be inflated, has a wrong length or another digest than its name gives nulls.
     """
-    name = F.regexp_extract("path", r"/([0-9a-f]{2}/[0-9a-f]{38})$", 1)
-    files = _binary(spark, root).where(name != "").select(F.replace(name, F.lit("/")).alias("oid"), "content")
 
     def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,25 +97,34 @@ def loose_objects(spark: SparkSession, root: str) -> DataFrame:
                     out.append(None)
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["oid", "whole"])
 
-    whole = files.mapInArrow(inflate, "oid string, whole binary")
+    whole = _loose_contents(spark, root).mapInArrow(inflate, "oid string, whole binary")
     return whole.select("oid", F.when(F.sha1("whole") == F.col("oid"), O.split_raw(F.col("whole"))).alias("o")).select("oid", "o.kind", "o.size", "o.payload")
 
 
 def write_loose(objects: DataFrame, root: str, level: int = 6) -> int:
-    """Write objects (kind, payload), each once, as compressed files below root; returns how many. Files get their names by renaming."""
-    rows = objects.select(O.object_id(F.col("kind"), F.col("payload")).alias("oid"), O.raw(F.col("kind"), F.col("payload")).alias("whole")).dropDuplicates(["oid"])
+    """Write objects (kind, payload), each once, as compressed files below root; returns how many. Files get their names by renaming.
+
+    An object that is there is passed over, so that payloads need no shuffle: copies that tasks meet at once are renamed to one file.
+    """
+    rows = objects.select(O.object_id(F.col("kind"), F.col("payload")).alias("oid"), O.raw(F.col("kind"), F.col("payload")).alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(root)
+        made, draft = set(), uuid.uuid4().hex
         for batch in batches:
             for oid, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store.create_dir(f"{base}/{oid[:2]}", recursive=True)
-                with store.open_output_stream(f"{base}/{oid[:2]}/tmp-{oid[2:]}") as out:
-                    out.write(zlib.compress(whole, level))
-                store.move(f"{base}/{oid[:2]}/tmp-{oid[2:]}", f"{base}/{oid[:2]}/{oid[2:]}")
-            yield pa.record_batch([pa.array([len(batch)], pa.int64())], names=["n"])
-
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                folder = f"{base}/{oid[:2]}"
+                target = f"{folder}/{oid[2:]}"
+                if oid[:2] not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(oid[:2])
+                if store.get_file_info(target).type == pafs.FileType.NotFound:
+                    with store.open_output_stream(f"{folder}/tmp-{draft}") as out:
+                        out.write(zlib.compress(whole, level))
+                    store.move(f"{folder}/tmp-{draft}", target)
+            yield pa.record_batch([batch.column(0)], names=["oid"])
+
+    return rows.mapInArrow(run, "oid string").agg(F.count_distinct("oid")).first()[0]
 
 
 def reference_files(spark: SparkSession, root: str) -> DataFrame:

@@ -129,6 +129,25 @@ def test_loose_objects_of_wrong_name_or_content(spark, tmp_path):
     }
 
 
+def test_loose_objects_in_folders_of_all_kinds(spark, tmp_path):
+    """Objects are found at any depth and by any reader, and no file is a row of a listing that the driver gathers."""
+    payloads = spark.range(300).select(F.lit("blob").alias("kind"), F.encode((F.col("id") % 200).cast("string"), "UTF-8").alias("payload")).repartition(7)
+    for below in ("a/objects", "a/.hidden", "a/ab"):
+        assert files.write_loose(payloads, f"file://{tmp_path}/{below}") == 200
+    assert files.write_loose(payloads.limit(250), f"file://{tmp_path}/a/objects") <= 200  # what is there stays
+    assert not list(tmp_path.rglob("tmp-*")) and len([p for p in (tmp_path / "a/objects").rglob("*") if p.is_file() and len(p.name) == 38]) == 200
+    want = sorted(hashlib.sha1(b"blob %d\0" % len(str(i)) + str(i).encode()).hexdigest() for i in range(200))
+    read = lambda root: sorted(r["oid"] for r in files.loose_objects(spark, root).where("kind = 'blob'").collect())
+    assert read(f"file://{tmp_path}/a/objects") == read(f"{tmp_path}/a/objects") == read(f"{tmp_path}/a/obj*") == want
+    assert read(f"file://{tmp_path}/a") == sorted(want * 2)
+    first = want[0][:2]
+    assert read(f"file://{tmp_path}/a/objects/{first}") == [w for w in want if w[:2] == first]
+    plan = files.loose_objects(spark, f"file://{tmp_path}/a/objects")._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "Aggregate" not in plan
+    (tmp_path / "none").mkdir()
+    assert read(f"{tmp_path}/none") == []
+
+
 def test_reference_files(spark, tmp_path):
     (tmp_path / "refs/heads").mkdir(parents=True)
     (tmp_path / "HEAD").write_text("ref: refs/heads/main\n")

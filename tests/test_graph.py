@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oakgraph import runtime
 from oakgraph.operators import graph, refs, trees
+from oakgraph.plans import model
 from oakgraph.streaming import packets
 
 
@@ -204,3 +205,21 @@ def test_what_a_step_wrote_on_its_way_goes(spark):
     df = runtime.written(spark, outer, "outer")
     assert sorted(r["id"] for r in df.collect()) == [2, 3, 4]
     assert made and not any(pathlib.Path(f.removeprefix("file://")).exists() for f in made)
+
+
+def test_edges_of_the_shared_graph_are_distinct_by_number(spark, sf):
+    """Lines are made distinct before names are made of their numbers, and not at all for walks; with both the edges are the same."""
+    edges = model.star(spark, sf)
+    groups = [x.split("], [")[0] for x in edges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert len(groups) == 2 and all("Aggregate [l_orderkey#" in x for x in groups)
+    again = model.star(spark, sf, repeats=True)
+    assert "Aggregate" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert again.count() > edges.count() == again.distinct().count() and edges.exceptAll(again.distinct()).isEmpty()
+
+
+def test_present_edges_look_up_targets_first(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "x"), ("y", "b"), ("b", None), (None, "a")], "src string, dst string")
+    got = graph.present_edges(edges, spark.createDataFrame([("a",), ("b",), ("b",)], "node string"))
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == [("a", "b"), ("a", "b")]
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in x]
+    assert len(joins) == 2 and "src#" in joins[0] and "dst#" in joins[1]  # the inner join comes last

@@ -45,19 +45,30 @@ def text_parts(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> I
         pa.default_memory_pool().release_unused()
 
 
-def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def strings(column: pa.Array) -> list[str]:
+    """The same as to_pylist() of strings without nulls, ten times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def word_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of some texts, the word of each place by its number, and where the words of each text end."""
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    names, at = coded.dictionary, coded.indices.to_numpy()
     ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-    if "" in names:  # beside white space at either end of a text
-        full = at != names.index("")
+    if (empty := pc.index(names, pa.scalar("", names.type)).as_py()) >= 0:  # beside white space at either end of a text
+        full = at != empty
         ends = np.concatenate([[0], np.cumsum(full)])[ends]
         at = at[full]
     return names, at, ends
 
 
+def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same with the words in Python."""
+    names, at, ends = word_arrays(texts)
+    return strings(names), at, ends
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The same with the texts in Python."""
     for part, texts in text_parts(batches, text_at, limit):

@@ -66,6 +66,24 @@ def test_words_equal_library(word_library):
     assert [r.tolist() for r in rows] == [[*e.ids, 1] for e in word_library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_are_put_together_from_letters_and_marks(word_library):
+    rng, letters, marks = random.Random(6), token_files.LETTERS, token_files.MARKS
+    made = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + "".join(rng.choices(marks, k=rng.choice([0, 1, 3]))) for _ in range(5000)]
+    texts = [*letters, *marks, *made, " ".join(made), "Σας ΣΑΣ. x\u0301. ×. a×b ÷ don't. 'S. it's, ab.c ... .a <|endoftext|>. é\u0301,", "a\x1fb.\x85c, d\xa0e", "", " \n "]
+    for kind in (pa.string(), pa.large_string()):
+        ids, ends = token_files.WordEncoder(WORDS).encode(pa.array(texts, kind), 1)
+        assert [r.tolist() for r in np.split(ids.to_numpy(), ends[:-1])] == [[*e.ids, 1] for e in word_library.encode_batch(texts, add_special_tokens=False)]
+    assert token_files.WordEncoder(WORDS).encode(pa.array(["", " "]), 1)[0].to_pylist() == [1, 1]
+
+
+def test_words_that_differ_in_case_and_marks_are_encoded_once():
+    encoder, met = token_files.WordEncoder(WORDS), []
+    encoder.recent.compute = lambda pieces, f=encoder.recent.compute: met.extend(pieces) or f(pieces)
+    encoder.encode(pa.array(["seven, Seven. SEVEN!! seven", "Été. été, seven;"]), 1)
+    encoder.encode(pa.array(["Seven! été"]), 1)
+    assert sorted(met) == sorted(["seven", "été", "", ",", ".", "!!", ";", "!"])
+
+
 def check_bpe(df, library):
     want = sorted((str(r["doc_id"]), len(i := library.encode(r["text"] or "", add_special_tokens=False).ids), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(i, skip_special_tokens=False).encode()).hexdigest()) for r in df.select("doc_id", "text").collect())
     assert sorted((str(r["doc_id"]), *r[1:]) for r in bpe.digests(df, BYTE).collect()) == want
